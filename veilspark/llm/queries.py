@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets
+from . import neardup, bpe, quality, secrets
 from .common import table
 
 
@@ -28,8 +28,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select(cols)
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op9_quality)}
 
 
 def oracle_sql() -> dict:
