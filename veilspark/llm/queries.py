@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, bpe, quality, secrets
+from . import lm, neardup, bpe, quality, secrets
 from .common import table
 
 
@@ -32,8 +32,12 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op8_lm, op9_quality)}
 
 
 def oracle_sql() -> dict:
