@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, neardup, bpe, quality, secrets
+from . import repeats, lm, neardup, bpe, quality, secrets
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op8_lm, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op7_repeats, op8_lm, op9_quality)}
 
 
 def oracle_sql() -> dict:
