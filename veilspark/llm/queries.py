@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats, lm, neardup, bpe, quality, secrets
+from . import decontam, repeats, lm, neardup, bpe, quality, secrets
 from .common import table
 
 
@@ -40,8 +40,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op7_repeats, op8_lm, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op7_repeats, op8_lm, op9_quality, op10_decontam)}
 
 
 def oracle_sql() -> dict:
