@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, repeats, lm, neardup, bpe, quality, secrets
+from . import warc, decontam, repeats, lm, neardup, bpe, quality, secrets
 from .common import table
 
 
@@ -44,8 +44,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op5_neardup, op7_repeats, op8_lm, op9_quality, op10_decontam)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op5_neardup, op7_repeats, op8_lm, op9_quality, op10_decontam)}
 
 
 def oracle_sql() -> dict:
