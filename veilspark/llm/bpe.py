@@ -8,7 +8,7 @@ many words share is encoded once. A word's encoding is read by following last to
 
 Null and empty texts have no tokens. Repeated rows give repeated rows; columns other than the id and the text
 are not read. A text is encoded whole, however long; memory is bounded by the slices of `common.texts_of`, one
-text, and a word cache that is emptied when it is full.
+text, and word caches that keep what is in use when they are full.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -73,7 +73,9 @@ class TrieBpe:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.apart: dict[int, bool] = {}
         self.cache: dict = {}
+        self.older: dict = {}  # the cache before; what is still in use moves over
         self.word_cache: dict[bytes, tuple[int, ...]] = {}
+        self.older_words: dict[bytes, tuple[int, ...]] = {}
         self.whole: dict[int, bool] = {}
 
     # -- the merge rule, used to judge pairs ------------------------------------------------------------
@@ -198,10 +200,14 @@ class TrieBpe:
                 parts[c] = [(lead + c).encode()]
             else:
                 parts[c] = [w.encode() for w in self.words(lead + c)]
-        known = self.word_cache
-        if len(known) > CACHE_WORDS // 2:
-            known.clear()
-        known.update(self.encode_words({w for words in parts.values() for w in words if w not in known}))
+        if len(self.word_cache) > CACHE_WORDS // 2:
+            self.older_words, self.word_cache = self.word_cache, {}
+        known, older = self.word_cache, self.older_words
+        new = {w for words in parts.values() for w in words if w not in known}
+        if older:
+            known.update((w, older[w]) for w in new if w in older)
+            new = {w for w in new if w not in older}
+        known.update(self.encode_words(new))
         for c, words in parts.items():
             self.cache[c if spaced else (c,)] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
 
@@ -209,7 +215,7 @@ class TrieBpe:
         """A word never spans the gap before a space that a non-space follows, so texts are split at spaces
         and whole chunks are looked up; texts with runs of white space or special tokens take the word pattern."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
         rest: set[str] = set()
         first: set[str] = set()
@@ -217,9 +223,16 @@ class TrieBpe:
             if parts:
                 first.add(parts[0])
                 rest.update(parts[1:])
-        self._learn({c for c in first if (c,) not in self.cache}, False)
-        self._learn({c for c in rest if c not in self.cache}, True)
-        out, get = [], self.cache.__getitem__
+        cache, older = self.cache, self.older
+        rest = {c for c in rest if c not in cache}
+        first = {(c,) for c in first if (c,) not in cache}
+        if older:
+            cache.update((c, older[c]) for c in chain(rest, first) if c in older)
+            rest = {c for c in rest if c not in older}
+            first = {c for c in first if c not in older}
+        self._learn({c for (c,) in first}, False)
+        self._learn(rest, True)
+        out, get = [], cache.__getitem__
         for text, parts in zip(texts, split, strict=True):
             try:
                 if parts is None:

@@ -58,9 +58,12 @@ def build(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
     return common.materialize(docs.mapInArrow(run, "chunk long, data binary"), name)
 
 
-def ranges(docs: DataFrame) -> int:
-    """Number of key ranges: one per shuffle partition, which is how a cluster is told the size of its shuffles."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ranges(docs: DataFrame, each: int = 1) -> int:
+    """Number of key ranges: `each` per shuffle partition, which is how a cluster is told the size of its shuffles.
+
+    A task takes its ranges one after the other, so more of them bound what it holds at once.
+    """
+    return each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def deal(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:

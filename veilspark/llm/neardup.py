@@ -5,12 +5,12 @@ computed, 2*m*r minhashes in all; the m*m pairs of one half-band from either col
 cost of hashing is about the square root of what as many independent tables would take. Two documents of similarity
 J share no key with probability at most 2*(1-J^r)^m; m is chosen so that this is at most `miss` at the threshold.
 
-Documents with equal sets form one class and enter the tables once. In each table bucket every class is first
-compared with the bucket's smallest one; the confirmed links are closed to components. Only buckets whose members
-then lie in more than one component are looked at again: there all pairs across components whose sketches are not
-hopeless are compared, in tiles of bounded size. All links are confirmed on full sets, and no candidate is dropped
-for its bucket's size. A pair inside one component is never compared twice, which is what keeps a large group of
-near copies from costing its square.
+Documents with equal sets form one class and enter the tables once. The classes of a bucket are linked provisionally
+where their sketches don't rule the threshold out (six standard deviations below it); the components of these links
+are families, and linked documents that share a bucket are in one family. Within a family the full sets decide: all
+intersections of one set with the others come from one count over the family's postings, and only links that join
+something are passed on, so a family of n hands on less than n links. Buckets and families beyond a tile's size are cut
+into tiles of which every two meet in one task. No candidate is dropped for the size of its bucket or family.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows of a doc_id with the same text
 are one class. An empty table gives no rows. Columns other than the id and the text are not read.
@@ -33,7 +33,8 @@ from .shingles import WordHash, mix, shingle_set, words_of
 
 HALF = 3
 TILE = 4096
-SALTS = 64
+TILE_BYTES = 16 << 20
+FILTER_BITS = 21
 
 
 def half_bands(num: int, den: int, miss: float = 2e-4) -> int:
@@ -121,118 +122,141 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tup
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, center) of buckets with more than one class; center is the smallest id in the bucket.
-
-    The rows of a key arrive together and sorted by id, and are passed on as they come.
-    """
+    """(key, id) of buckets with more than one class. A bucket's rows arrive together and are passed on as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_id = center = None
+        held: tuple | None = None  # the last row, not passed on yet, and whether its key came before
         for batch in batches:
             key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             if not len(key):
                 continue
-            new = np.r_[True, key[1:] != key[:-1]]
-            new[0] = last_key is None or key[0] != last_key
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            centers = np.where(first >= 0, ids[np.maximum(first, 0)], center if center is not None else 0)
-            out = ~new  # every member but the first
-            last_key, last_id, center = key[-1], ids[-1], centers[-1]
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ids[out]), pa.array(centers[out])], ["key", "id", "center"])
+            twin = np.zeros(len(key) + 1, bool)
+            if held:
+                key, ids, twin = np.r_[held[0], key], np.r_[held[1], ids], np.r_[twin, False]
+                twin[0] = held[2]
+            same = key[1:] == key[:-1]
+            twin[1 : len(key)] |= same
+            twin[: len(key) - 1] |= same
+            held = (key[-1], ids[-1], twin[len(key) - 1])
+            out = np.flatnonzero(twin[: len(key) - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ids[out])], ["key", "id"])
+        if held and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "id"])
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+
+
+def _tiled(rows: DataFrame, group: str, tiles: DataFrame, data: list[str]) -> DataFrame:
+    """Rows once for each tile theirs meets: group, t0 <= t1, tile, id and data, gathered by the first three.
+
+    tiles: (group, tiles), the number of tiles of each group; groups of one tile are not repeated.
+    """
+    rows = rows.join(tiles, group).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.select(group, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"), "tile", "id", *data)
+    rows = rows.select(group, F.least("tile", "with").alias("t0"), F.greatest("tile", "with").alias("t1"), "tile", "id", *data)
+    return rows.repartition(group, "t0", "t1").sortWithinPartitions(group, "t0", "t1")
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, center long")
 
+def _forest(n: int, hits) -> list[tuple[int, int]]:
+    """Links i-j that join something new, where hits(i, open) gives the partners of i among the open ones."""
+    part, out = np.arange(n), []
+    for i in range(n - 1):
+        other = part != part[i]
+        if not other.any():
+            break
+        for j in hits(i, np.flatnonzero(other)).tolist():
+            if part[j] != part[i]:
+                out.append((i, j))
+                part[part == part[j]] = part[i]
+    return out
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose full sets have den * intersection >= num * union.
 
-    Pairs are dealt by their first id and a salt of the second, so one id with very many partners is shared out;
-    a task holds one set at a time and streams its partners' sets past it.
-    """
-    salted = pairs.select("a", "b", F.pmod("b", F.lit(SALTS)).alias("salt"))
-    right = salted.join(sets, salted.b == sets.id).select("a", "salt", F.lit(1).alias("side"), "b", "items")
-    left = salted.select("a", "salt").distinct().join(sets, F.col("a") == sets.id).select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "items")
+def _links(pairs: list[tuple[int, int]], ids: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: np.ndarray = np.empty(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for first, side, second, items in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4), strict=True):
-                other = np.frombuffer(items.as_buffer(), np.uint64)
-                if side == 0:
-                    mine = other.copy()
-                    continue
-                small, large = (mine, other) if len(mine) < len(other) else (other, mine)
-                if den * len(small) < num * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                common_items = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                if den * common_items >= num * (len(mine) + len(other) - common_items):
-                    a.append(first)
-                    b.append(second)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose set sizes allow the threshold (an exact filter)."""
-    s, t = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.join(s, "a").join(t, "b").filter(den * low >= num * high).select("a", "b")
-
-
-def _across(buckets: DataFrame, label: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) pairs of classes that share a bucket but no component, and whose sketches agree well enough.
-
-    The sketch filter asks for 6 standard deviations less than the threshold. A bucket is cut into tiles of about
-    TILE members by id; two tiles meet in one task, which holds no more than them.
-    """
-    members = buckets.select("key", "id").union(buckets.select("key", F.col("center").alias("id")).distinct())
-    members = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    members = members.join(open_keys.select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "key")
-    members = members.join(classes.select("id", "n", "sketch"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    paired = members.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"), "tile", "id", "component", "n", "sketch")
-    paired = paired.select("key", F.least("tile", "with").alias("t0"), F.greatest("tile", "with").alias("t1"), "tile", "id", "component", "n", "sketch")
-    level = num / den
+
+def _provisional(buckets: DataFrame, classes: DataFrame, level: float) -> DataFrame:
+    """(a, b) links of classes in one bucket whose sketches agree in enough places, a forest of each bucket's."""
+    brief = classes.select("id", "brief")
+    tiles = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, t0, t1), rows in _groups(batches, 3):
-            rows.sort(key=lambda r: r[1])
-            tile, ids, comp, n = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
-            sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+            tile = np.array([r[0] for r in rows])
+            sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
             floor = (level - 6 * math.sqrt(level * (1 - level) / sketch.shape[1])) * sketch.shape[1]
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                ok = (comp[i + 1 :] != comp[i]) & (den * np.minimum(n[i], n[i + 1 :]) >= num * np.maximum(n[i], n[i + 1 :]))
-                if t0 != t1:
-                    ok &= tile[i + 1 :] != tile[i]
-                at = np.flatnonzero(ok) + i + 1
-                if len(at):
-                    at = at[(sketch[at] == sketch[i]).sum(axis=1) >= floor]
-                    a += [ids[i]] * len(at)
-                    b += ids[at].tolist()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = paired.repartition("key", "t0", "t1").sortWithinPartitions("key", "t0", "t1")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, items): sorted shingle hashes of the wanted documents."""
+
+            def hits(i: int, at: np.ndarray, tile=tile, sketch=sketch, floor=floor, cross=t0 != t1) -> np.ndarray:
+                if cross:
+                    at = at[tile[at] != tile[i]]
+                return at[(sketch[at] == sketch[i]).sum(axis=1) >= floor]
+
+            if pairs := _forest(len(rows), hits):
+                yield _links(pairs, [r[1] for r in rows])
+
+    return _tiled(buckets.join(brief, "id"), "key", tiles, ["brief"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links of one family with den * intersection >= num * union on full sets, a forest of each tile's."""
+    tiles = sets.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("items")) / TILE_BYTES)).cast("int").alias("tiles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, t0, t1), rows in _groups(batches, 3):
+            tile = np.array([r[0] for r in rows])
+            sizes = np.array([len(r[2]) // 8 for r in rows])
+            _, item = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), return_inverse=True)
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            order = np.argsort(item, kind="stable")
+            posting, ends = owner[order], np.cumsum(np.bincount(item))
+            starts = ends - np.diff(ends, prepend=0)
+            first = np.cumsum(sizes) - sizes
+
+            def hits(i: int, at: np.ndarray, tile=tile, sizes=sizes, item=item, posting=posting, starts=starts, ends=ends, first=first, cross=t0 != t1) -> np.ndarray:
+                mine = item[first[i] : first[i] + sizes[i]]
+                count = ends[mine] - starts[mine]
+                place = np.repeat(starts[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                shared = np.bincount(posting[place], minlength=len(sizes))[at]
+                ok = den * shared >= num * (sizes[i] + sizes[at] - shared)
+                return at[ok & (tile[at] != tile[i])] if cross else at[ok]
+
+            if pairs := _forest(len(rows), hits):
+                yield _links(pairs, [r[1] for r in rows])
+
+    return _tiled(sets, "family", tiles, ["items"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, families: DataFrame, width: int) -> DataFrame:
+    """(id, items): sorted shingle hashes of documents of a family, and of a few others.
+
+    A filter of 2**FILTER_BITS bits spares most other texts; it has the same size whatever the input, and the join
+    with the families drops what it lets through.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(np.asarray(batch.column(0)))))], ["bit"])
+
+    spark = docs.sparkSession
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[families.select("node").mapInArrow(hashed, "bit long").distinct().toArrow().column(0).to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for ids, texts in common.texts_of(batches):
-            items = [shingle_set(words_of(t), hashes, width).tobytes() for t in texts]
-            hashes.trim()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(bits[_bits(np.asarray(batch.column(0)))]))
+            for ids, texts in common.texts_of(iter([some])):
+                items = [shingle_set(words_of(t), hashes, width).tobytes() for t in texts]
+                hashes.trim()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
-    return docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(run, "id long, items binary")
+    return docs.mapInArrow(run, "id long, items binary")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,19 +264,26 @@ def near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100
     docs = common.id_text(df, id_col, text_col)
     m = half_bands(num, den)
     sig = common.materialize(signatures(docs, width, m), "signatures")
-    best = sig.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
-    classes = common.materialize(best.select("fp", F.col("x.doc_id").alias("id"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "classes")
+    best = sig.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("x"))
+    classes = common.materialize(best.select("fp", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch")), "classes")
     buckets = common.materialize(_buckets(_keys(classes, m)), "buckets")
-    stars = common.materialize(_plausible(buckets.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), classes.select("id", "n"), num, den), "stars")
-    wanted = buckets.select("id").union(buckets.select(F.col("center").alias("id"))).distinct()
-    sets = common.materialize(_sets(docs, wanted, width).dropDuplicates(["id"]), "sets")
-    links = common.materialize(_confirm(stars, sets, num, den), "links")
-    label = common.materialize(components(links), "label")
-    more = common.materialize(_across(buckets, label, classes, num, den).join(stars, ["a", "b"], "left_anti"), "across")
-    links = links.union(_confirm(more, sets, num, den))
-    label = components(links)
+    families = common.materialize(components(_provisional(buckets, _brief(classes), num / den)), "families")
+    of_family = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
+    sets = common.materialize(_sets(docs, families, width).join(of_family, "id").select("family", "id", "items"), "sets")
+    label = components(_confirmed(sets, num, den))
     of_class = classes.select("fp", "id").join(label, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     of_class = common.materialize(of_class, "of_class")
     out = sig.select("doc_id", "n", "fp").join(of_class, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def _brief(classes: DataFrame) -> DataFrame:
+    """(id, brief): one byte of each minhash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            brief = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(brief, pa.binary())], ["id", "brief"])
+
+    return classes.select("id", "sketch").mapInArrow(run, "id long, brief binary")

@@ -252,7 +252,7 @@ def removed_runs(buffer: np.ndarray, plan: bytes | None, got: list[bytes], lengt
 def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of each row."""
     docs = common.id_text(df, id_col, text_col)
-    parts = chunks.ranges(docs)
+    parts = chunks.ranges(docs, 8)
     table = chunks.build(docs, "repeat-chunks", CHUNK_BYTES)
     shared = _answer_hashes(_ask_hashes(table, parts, length))
     asked = _ask_windows(table, shared.select("chunk", "data"), parts, length)
