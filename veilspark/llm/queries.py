@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, warc, decontam, repeats, lm, neardup, bpe, quality, secrets
+from . import bpe, chat, decontam, license, lm, neardup, quality, repeats, secrets, warc
 from .common import table
 
 
@@ -48,6 +49,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+#: The documents have no paths: a tree of directories by the digits of doc_id under each source stands for them.
+PATH_SQL = "coalesce(source, '') || '/' || regexp_replace(cast({tens} AS {text}), '([0-9])', '{digit}/'{every}) || cast(doc_id AS {text}) || '.txt'"
+
+
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.expr(PATH_SQL.format(tens="doc_id div 10", text="string", digit="$1", every=""))
+    return license.scan(table(spark, sf_dir, "documents"), path, notice="any")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.sql("SELECT -7L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)")
@@ -55,8 +65,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op5_neardup, op6_chat, op7_repeats, op8_lm, op9_quality, op10_decontam)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op4_license, op5_neardup, op6_chat, op7_repeats, op8_lm, op9_quality, op10_decontam)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    path = PATH_SQL.format(tens="doc_id // 10", text="VARCHAR", digit="\\1", every=", 'g'")
+    return {"op4_license": license.oracle("documents", path)}
