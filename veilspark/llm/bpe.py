@@ -21,6 +21,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import common
 
@@ -280,6 +281,28 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     return df.select(id_col, ids_col).toDF("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
 
 
+def add_tokens(df: DataFrame, vocabulary: str, text_col: str = "text", token_col: str = "token_ids", count_col: str = "n_tokens") -> DataFrame:
+    """df with the token ids of each text and their number; a text that doesn't decode to itself again is an error."""
+    at, taken = df.schema.fieldNames().index(text_col), {c.lower() for c in df.columns}
+    while taken & {token_col.lower(), count_col.lower()}:  # columns of these names pass through
+        token_col, count_col = f"{token_col}_", f"{count_col}_"
+    schema = StructType([*df.schema.fields, StructField(token_col, ArrayType(IntegerType())), StructField(count_col, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe(vocabulary)
+        for batch in batches:
+            for part in common.slices(batch, at):
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                ids = coder.encode_batch(texts)
+                for text, tokens in zip(texts, ids, strict=True):
+                    if coder.decode(tokens) != text:
+                        raise ValueError("a text does not come back from its tokens")
+                extra = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, token_col, count_col])
+
+    return df.mapInArrow(run, schema)
+
+
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars, is_lossless)."""
 

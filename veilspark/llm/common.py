@@ -57,9 +57,9 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part have at most limit bytes, or are one text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > start:
@@ -73,5 +73,5 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 def texts_of(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
     """(ids, texts) of (doc_id, text) batches, in parts of bounded size."""
     for batch in batches:
-        for part in slices(batch, "text", limit):
+        for part in slices(batch, 1, limit):
             yield part.column(0).to_pylist(), part.column(1).to_pylist()

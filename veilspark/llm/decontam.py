@@ -13,8 +13,9 @@ search runs per item size over all windows of that size in whole texts:
 4. Candidates are verified by exact edit distance over words, against the nearest stretch around the windows found.
 
 The items are held by every worker; `search` checks their size first (`max_item_bytes`) and deals them in blocks
-beyond it. Null and empty texts hold no item, and items without words are found nowhere. Repeated rows and repeated
-items are each reported. An empty table on either side gives no rows. Other columns are not read.
+beyond it. Null and empty texts hold no item, and items without words are found nowhere. Repeated rows are each
+reported; items of one id, or without one, are reported once per document, at the nearest. An empty table on either
+side gives no rows (`drop_contaminated`: drops none). Other columns are not read, and pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -104,13 +105,17 @@ def tables_for(items: list[np.ndarray], edits: int, recall: float, most: int = 5
         tables *= 2
 
 
+def _by_id(row: tuple) -> tuple:
+    return row[0] is not None, row[0] or 0, row[1] or ""
+
+
 class Items:
     """The benchmark by item size: grams for the exact filter, tables of keys, and words for verification."""
 
     def __init__(self, rows: list[tuple[int, str]], rate: float, tables: dict[int, int]):
         self.vocabulary: dict[bytes, int] = {}
         self.sizes: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
-        for item, text in sorted(rows):
+        for item, text in sorted(rows, key=_by_id):
             words = words_of(text or "")
             if words:
                 self.sizes[len(words)].append((item, tuple(self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words)))
@@ -230,7 +235,7 @@ def plan_tables(rows: list[tuple[int, str]], rate: float, recall: float) -> dict
     """Number of tables for each item size, measured on up to eight sizes and read off the next larger one."""
     rng = np.random.default_rng(3)
     sizes: dict[int, list] = defaultdict(list)
-    for _, text in sorted(rows):
+    for _, text in sorted(rows, key=_by_id):
         if words := words_of(text or ""):
             sizes[len(words)].append(rng.integers(1, 1 << 62, len(words), dtype=np.uint64))
     every = sorted(w for w in sizes if int(rate * w))
@@ -241,19 +246,24 @@ def plan_tables(rows: list[tuple[int, str]], rate: float, recall: float) -> dict
 def search(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, distance, item_words, at_word) of each document and item with a window within rate."""
     docs = common.id_text(df, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words"))
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = -(-total // max_item_bytes) or 1
     out = None
-    for block in range(blocks):  # each pass holds max_item_bytes or so of items, however many there are
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        rows = [(r.item, r.words) for r in part.collect()]
-        shared = df.sparkSession.sparkContext.broadcast((rows, plan_tables(rows, rate, recall)))
+    for shared in _item_blocks(benchmark, rate, recall, item_col, item_text, max_item_bytes):
         found = docs.mapInArrow(_searcher(shared, rate), "doc_id long, item_id long, distance long, item_words long, at_word long")
         out = found if out is None else out.union(found)
     return out
 
 
+def _item_blocks(benchmark: DataFrame, rate: float, recall: float, item_col: str, item_text: str, max_item_bytes: int) -> Iterator:
+    """Broadcasts of the items in blocks of max_item_bytes or so, however many items there are."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words"))
+    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = -(-total // max_item_bytes) or 1
+    for block in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
+        rows = [(r.item, r.words) for r in part.collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables(rows, rate, recall)))
+
+
 _made: dict = {}
 
 
@@ -271,15 +281,25 @@ def _searcher(shared, rate: float):
         items = _items(shared, rate)
         words = {i: w for w, rows in items.sizes.items() for i, _ in rows}
         for ids, texts in common.texts_of(batches):
-            rows = [(doc, item, d, words[item], at) for doc, hits in zip(ids, items.find(texts), strict=True) for item, (d, at) in sorted(hits.items())]
+            rows = [(doc, item, d, words[item], at) for doc, hits in zip(ids, items.find(texts), strict=True) for item, (d, at) in sorted(hits.items(), key=lambda x: _by_id((x[0], None)))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "item_words", "at_word"])
 
     return run
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that hold an item; all columns stay. Rows with a null id or text stay."""
-    bad = search(df, benchmark, rate, id_col=id_col, text_col=text_col).select("doc_id").distinct()
-    bad = common.materialize(bad, "contaminated").withColumnRenamed("doc_id", "__contaminated")
-    return df.join(bad, df[id_col] == F.col("__contaminated"), "left_anti")
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, text_col: str = "text", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of df whose text holds no item, with all their columns. One pass per block of items, no shuffle."""
+    at = df.schema.fieldNames().index(text_col)
+    schema = df.schema
+    for shared in _item_blocks(benchmark, rate, recall, "item_id", item_text, max_item_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = _items(shared, rate)
+            for batch in batches:
+                for part in common.slices(batch, at):
+                    hits = items.find([t or "" for t in part.column(at).to_pylist()])
+                    yield part.filter(pa.array([not h for h in hits], pa.bool_()))
+
+        df = df.mapInArrow(run, schema)
+    return df

@@ -9,7 +9,7 @@ segmentations but don't weight them; the weights are then learnt here, from the
 
 Base scores are smoothed unigram word probabilities with counts over all training tokens.
 
-Null and empty texts have only the end token. Repeated rows count as often as they occur. A table without training
+Null and empty texts have only the end token. Repeated rows count as often as they occur; rows without an id train. A table without training
 rows scores with smoothing alone; an empty table gives no rows. Columns other than the id and the text are not read.
 """
 
@@ -32,8 +32,9 @@ LONG = 256  # bytes; a longer word is run by itself
 _END_KEY = 0x8B1A9953C4611296  # not a word's hash but by a chance of 2**-64
 
 
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 10 == 0
+def held_out(doc_id: int | None) -> bool:
+    """The fold of an id; a row without one is a training row."""
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
 class Lattice:

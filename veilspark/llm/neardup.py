@@ -13,7 +13,8 @@ something are passed on, so a family of n hands on less than n links. Buckets an
 into tiles of which every two meet in one task. No candidate is dropped for the size of its bucket or family.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows of a doc_id with the same text
-are one class. An empty table gives no rows. Columns other than the id and the text are not read.
+are one class; a row without an id is linked with nothing and kept. An empty table gives no rows. Columns other than
+the id and the text are not read, and pass through `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
             sketch: list = [None] * len(sets)
             for i, row in zip(full, rows, strict=True):
                 sketch[i] = row.tobytes()
-            fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and doc is not None else None for doc, s in zip(ids, sets, strict=True)]
             cols = [pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps, pa.binary()), pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "sketch"])
 
@@ -264,7 +265,7 @@ def near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100
     docs = common.id_text(df, id_col, text_col)
     m = half_bands(num, den)
     sig = common.materialize(signatures(docs, width, m), "signatures")
-    best = sig.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("x"))
+    best = sig.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("x"))
     classes = common.materialize(best.select("fp", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch")), "classes")
     buckets = common.materialize(_buckets(_keys(classes, m)), "buckets")
     families = common.materialize(components(_provisional(buckets, _brief(classes), num / den)), "families")
@@ -275,7 +276,23 @@ def near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100
     of_class = common.materialize(of_class, "of_class")
     out = sig.select("doc_id", "n", "fp").join(of_class, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns; rows without an id stay.
+
+    Of rows that repeat an id one stays. Only ids are joined to the rows; the few that are dropped are broadcast where
+    Spark finds their table small.
+    """
+    gone = near_duplicates(df, width, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
+    out = df.join(common.materialize(gone.distinct(), "dropped"), df[id_col] == F.col("__dropped"), "left_anti")
+    again = df.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1 and __again is not null").select("__again")
+    again = common.materialize(again, "repeated")
+    if again.isEmpty():
+        return out
+    known = out[id_col] == F.col("__again")
+    return out.join(again, known, "left_anti").union(out.join(again, known, "left_semi").dropDuplicates([id_col]))
 
 
 def _brief(classes: DataFrame) -> DataFrame:

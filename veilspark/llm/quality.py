@@ -146,8 +146,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that are kept, with df's columns. The texts are read twice (fit, filter) and never shuffled."""
-    model = fit(features(df, id_col, text_col))
+    """The rows of df that are kept, with df's columns.
+
+    The rows are written once with their features, so that texts are analysed once for the fit and the filter; the
+    fit reads the feature columns alone. Nothing is shuffled but counts of vote patterns.
+    """
+    from . import common
+
     spare = {c: f"__q_own_{i}" for i, c in enumerate(df.columns)}
     feats = features(df.select([F.col(c).alias(spare[c]) for c in df.columns]), spare[id_col], spare[text_col], keep=True)
-    return judge(feats, model).filter("kept").select([F.col(v).alias(k) for k, v in spare.items()])
+    feats = common.materialize(feats, "features")
+    return judge(feats, fit(feats)).filter("kept").select([F.col(v).alias(k) for k, v in spare.items()])

@@ -12,7 +12,7 @@ of each is found. Answers are one bit per window. Equal runs of a chunk are sent
 one run per chunk that holds some, not its size.
 
 Null, empty and shorter texts lose nothing. Rows that repeat a doc_id count as that document and don't remove each
-other. An empty table gives no rows. Columns other than the id and the text are not read.
+other; rows without an id count as one last document. An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -94,6 +94,11 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, leng
     return out[0], out[1]
 
 
+def _order(ids: list) -> np.ndarray:
+    """Ids as numbers to compare; a missing one comes last."""
+    return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
     return zstandard.compress(head + b"".join(a.tobytes() for a in arrays), 1)
@@ -123,7 +128,7 @@ def _ask_hashes(table: DataFrame, parts: int, length: int) -> DataFrame:
                 ids, texts = chunks.unpack(data.as_py())
                 _, low, _, _, owner = runs_of(texts, length)
                 keys, at = np.unique(low, return_inverse=True)
-                doc = np.array(ids, np.int64)[owner]
+                doc = _order(ids)[owner]
                 high = np.full(len(keys), np.iinfo(np.int64).min)
                 least = np.full(len(keys), np.iinfo(np.int64).max)
                 np.maximum.at(high, at, doc)
@@ -186,7 +191,7 @@ def _ask_windows(table: DataFrame, answers: DataFrame, parts: int, length: int)
         if not len(chosen):
             return
         chosen = chosen[np.argsort(low[chosen], kind="stable")]
-        low, first, count, doc = low[chosen], first[chosen], count[chosen], np.array(ids, np.int64)[owner[chosen]]
+        low, first, count, doc = low[chosen], first[chosen], count[chosen], _order(ids)[owner[chosen]]
         raw = buffer.tobytes()
         index: dict[bytes, int] = {}
         which = np.fromiter((index.setdefault(raw[f : f + c + length - 1], len(index)) for f, c in zip(first.tolist(), count.tolist(), strict=True)), np.int64, len(first))

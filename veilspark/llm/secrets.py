@@ -212,7 +212,7 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, text_col):
+            for part in common.slices(batch, at):
                 out = [None if t is None else mask_text(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(out, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
 

@@ -8,7 +8,7 @@ and merges, in each range, the blocks of all runs with a loser tree, so the rang
 Equal payloads (by SHA-1 digest, at least `least_bytes` long) are stored once, under the largest page_id; the others
 become revisit records that name it. A null or empty page has an empty payload and counts like any other. Rows that
 repeat a page_id are each written, as responses where theirs is the largest of its payload. Captures of one key and time are
-ordered by page_id. A null URL has an empty key. An empty table writes nothing. Other columns are not read.
+ordered by page_id; a missing page_id stays missing and comes first. A null URL has an empty key. An empty table writes nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from . import common
 
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 BLOCK = 512
+NO_ID = -(1 << 63)  # stands in the index for a missing page_id
 FAN_IN = 512  # runs merged at once by one tree; more are merged in rounds
 
 
@@ -51,7 +52,7 @@ def record(page_id: int, url: str, date: str, payload: bytes, digest: str, refer
     """One gzip member: a response with its payload, or a revisit without."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda c: f'%{ord(c[0]):02X}', url)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda c: f'%{ord(c[0]):02X}', url)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -66,7 +67,7 @@ def parse(data: bytes) -> dict:
     size = int(fields["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut off")
-    number = lambda k: int(fields[k][len("<urn:page:") : -1]) if k in fields else None
+    number = lambda k: int(x) if (x := fields.get(k, "")[len("<urn:page:") : -1]) else None
     return {"type": fields["WARC-Type"], "page_id": number("WARC-Record-ID"), "refers_to": number("WARC-Refers-To"), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "length": int(fields["X-Payload-Length"]), "date": fields["WARC-Date"], "url": fields["WARC-Target-URI"], "body": rest[:size]}
 
 
@@ -113,10 +114,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
                 if out is None:
                     store.create_dir(at, recursive=True)
                     out = store.open_output_stream(f"{at}/{name}.warc.gz", compression=None)
-                date = (EPOCH + timedelta(seconds=page % 2_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                date = (EPOCH + timedelta(seconds=(page or 0) % 2_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
                 data = record(page, url, date, body, base64.b32encode(digest).decode(), None if keeper is None or keeper == page else keeper)
                 out.write(data)
-                entries.append((url_key(url), date, page, offset, len(data)))
+                entries.append((url_key(url), date, NO_ID if page is None else page, offset, len(data)))
                 offset += len(data)
         if out is None:
             return
@@ -298,7 +299,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     archives = write(pages, common.scratch(spark, "warc"), least_bytes)
     records = read(archives).drop("payload", "url", "date")
-    index = merge_index(archives).select(F.col("page_id").alias("id"), "part", "pos")
+    index = merge_index(archives).select(F.nullif("page_id", F.lit(NO_ID)).alias("id"), "part", "pos")
     index = index.groupBy("id").agg(F.min(F.struct("part", "pos")).alias("at"))
-    out = records.join(index, records.page_id == index.id, "left")
+    out = records.join(index, records.page_id.eqNullSafe(index.id), "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("at.part").alias("index_part"), F.col("at.pos").alias("index_pos"))
