@@ -67,7 +67,7 @@ def votes() -> dict[str, Column]:
     """The rules: 1 good, 0 bad, null abstains."""
     n = F.col("n_words")
     vote = lambda good, bad: F.when(bad, 0).when(good, 1)
-    mean = F.col("word_chars") / n
+    mean = F.try_divide("word_chars", "n_words")
     return {
         "v_length": vote(n >= 100, n < 50),
         "v_word_length": vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
