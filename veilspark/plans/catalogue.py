@@ -301,3 +301,27 @@ def default_detectors(spark, sf_dir):
 def labelled_redaction(spark, sf_dir):
     docs = _read(spark, sf_dir).select("doc_id", "text")
     return redaction.redact(docs, [*D.DEFAULT, *PII], template=Template.parse("[{reason}#{n}]")).select("doc_id", "redacted")
+
+
+@query("""WITH n AS (SELECT n_regionkey::VARCHAR AS doc_id, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation)
+SELECT doc_id, 0 AS leaf_idx, NULL AS key, 'name' AS value FROM n GROUP BY doc_id UNION ALL SELECT doc_id, 1, NULL, 'number' FROM n GROUP BY doc_id
+UNION ALL SELECT doc_id, 2 * rn, 'name', n_name FROM n UNION ALL SELECT doc_id, 2 * rn + 1, 'number', n_nationkey::VARCHAR FROM n""")
+def csv_leaves(spark, sf_dir):
+    """Nations of each region written as a CSV document and read back as leaves."""
+    from ..operators import documents
+
+    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    body = F.concat(F.lit("name,number\n"), F.array_join(F.transform(rows, lambda r: F.concat(r["n_name"], F.lit(","), r["n_nationkey"].cast("string"), F.lit("\r\n"))), ""))
+    docs = _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.encode(body, "UTF-8").alias("content"))
+    return documents.leaves(docs.select("doc_id", F.lit("nations.csv").alias("path"), "content")).select("doc_id", "leaf_idx", "key", "value")
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, 'json' AS format, '{{\"text\":' || to_json(redacted) || '}}' AS content FROM ({O.redacted([O.spans(O.EMAIL, 'pii:email', **_chars), O.spans(O.PHONE, 'pii:phone', **_chars)])}) WHERE regexp_matches(redacted, 'REDACTED')")
+def structured_roundtrip(spark, sf_dir):
+    """Documents wrapped as JSON, parsed, redacted at their leaves and rewritten; those with findings."""
+    from ..operators import documents
+
+    docs = _read(spark, sf_dir).select("doc_id", F.lit("d.json").alias("path"), F.encode(F.to_json(F.struct("text")), "UTF-8").alias("content"))
+    rendered, _ = documents.redact_documents(docs, PII)
+    out = rendered.select("doc_id", "format", F.decode("content", "UTF-8").alias("content"))
+    return out.filter(F.contains("content", F.lit("REDACTED")))
