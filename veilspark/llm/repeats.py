@@ -74,7 +74,7 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     count = np.add.reduceat(inside.astype(np.int64), first)
     keep = count > 0
     first, count = first[keep], count[keep]
-    return data, low[first], first, count, owner[first]
+    return data, mix(low[first]), first, count, owner[first]  # minima are small numbers; mixed, they fill all key ranges alike
 
 
 def window_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
