@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +86,6 @@ def members(stream) -> Iterator[bytes]:
         parts.append(pack.decompress(data))
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
-
-
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write archives and capture runs; (archive, run, blocks array) per task, as a table in the shared folder.
 
@@ -105,7 +100,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     rows = rows.join(first, rows.digest == first.d, "left").drop("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _open(folder)
+        store, at = common.open_store(folder)
         name = uuid.uuid4().hex
         out, entries, offset = None, [], 0
         for batch in batches:
@@ -147,7 +142,7 @@ def read(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = _open(path)
+                store, at = common.open_store(path)
                 rows, size = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for data in members(stream):
@@ -216,7 +211,7 @@ def merge(runs: list[Iterator]) -> Iterator:
 
 def _entries(path: str, blocks: list[tuple[int, int]], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
     """Entries of a run from low on and before high, reading one block at a time."""
-    store, at = _open(path)
+    store, at = common.open_store(path)
     with store.open_input_file(at) as f:
         for offset, length in sorted(blocks):
             f.seek(offset)
