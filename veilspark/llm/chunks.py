@@ -74,7 +74,8 @@ def build(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
             if ids:
                 yield row()
 
-    return common.materialize(docs.mapInArrow(run, "chunk long, data binary"), f"{name}-places")
+    places = common.materialize(docs.mapInArrow(run, "chunk long, data binary"), f"{name}-places")
+    return places.repartition(ranges(docs), "chunk")  # few bytes, but much work each
 
 
 def ranges(docs: DataFrame, each: int = 1) -> int:
