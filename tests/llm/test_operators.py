@@ -96,6 +96,26 @@ def test_secret_layers():
     assert secrets.mask_text("a token=abcdefgh b") == "a [assign] b"
 
 
+def test_secret_wrapped_base64():
+    import base64
+    import gzip
+    import textwrap
+
+    rng = random.Random(6)
+    words = " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))
+    plain = f"{words[:50]} password=hunter2hunter2hunter2 {words}"
+    for data in (plain.encode(), gzip.compress(plain.encode())):
+        whole = base64.b64encode(data).decode()
+        for width, glue, end in ((64, "\n", "\n-----END CERTIFICATE-----"), (76, "\r\n", ""), (76, "\n    ", " after")):
+            block = glue.join(textwrap.wrap(whole, width))
+            for before in ("-----BEGIN CERTIFICATE-----\n", "key: |\n    ", "text "):
+                text = before + block + end
+                at = len(before)
+                assert any(k == 0 and s <= at and e >= at + len(block) for s, k, e in secrets.scan_text(text)[1]), (width, before)
+                assert "[assign]" in secrets.mask_text(text) and whole[70:100] not in secrets.mask_text(text)
+    assert not secrets.scan_text("a_long_identifier_here\nand another\n" * 3)[1]
+
+
 def test_warc(spark, tmp_path):
     import base64
 

@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is a layer. A layer is searched for secrets; then every encoding found in it is unwrapped into a new
-layer that goes on the worklist: URL escapes and backslash-u escapes (whole layer), base64 runs, and base64 runs
-that hold gzip or zlib data. A layer carries a map from its characters to spans of the original text, so a secret
+layer that goes on the worklist: URL escapes and backslash-u escapes (whole layer), base64 runs, also joined over
+line breaks, and base64 runs that hold gzip or zlib data. A layer carries a map from its characters to spans of the original text, so a secret
 found at any depth is reported as the smallest span of the original that produced it. Layers that were seen before
 (same content over the same original span) end their branch, so data that unpack to themselves stop at a fixpoint.
 
@@ -35,6 +35,8 @@ ASSIGN_HINT = re.compile(r"""[DdTtNnYy]["']?\x20*[:=]""")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 MAX_LAYER_BYTES = 64 << 20
 
 
@@ -148,6 +150,36 @@ def _unpack(run: str, limit: int) -> tuple[str | None, bool]:
     return (text, False) if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else (None, False)
 
 
+def base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(run, start, end) of base64 runs: within lines, and joined over single line breaks with indentation.
+
+    Lines that follow each other are joined as a whole, and in blocks of lines of one width with a shorter last one, with
+    and without the line before (text before or after the data may be of the same alphabet). Each line is in six
+    runs at most.
+    """
+    for m in BASE64.finditer(text):
+        yield m.group(), m.start(), m.end()
+    if "\n" not in text:
+        return
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        pad = m.end() - lines[-1][1]
+        spans, i = {(0, len(lines))}, 0
+        while i < len(lines):
+            j, width = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            end = j + (j < len(lines) and lines[j][1] - lines[j][0] < width)
+            spans |= {(max(i - 1, 0), end), (i, end)}
+            i = j
+        for i, j in spans:
+            if j - i > 1:
+                run = "".join(text[a:b] for a, b in lines[i:j])
+                if len(run) >= 16:
+                    last = j == len(lines)
+                    yield run + "=" * (last and pad), lines[i][0], m.end() if last else lines[j - 1][1]
+
+
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
     """(base spans, all spans, decoded layers, oversize layers), spans as (start, kind index, end), sorted."""
     base = base_spans(text)
@@ -170,11 +202,11 @@ def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int,
             work.append(new)
         if "\\" in layer.text and (new := unescape(layer, UNICODE, _from_unicode)):
             work.append(new)
-        for m in BASE64.finditer(layer.text):
-            inner, large = _unpack(m.group(), limit)
+        for run, start, end in base64_runs(layer.text):
+            inner, large = _unpack(run, limit)
             oversize += large
             if inner:
-                work.append(Layer(inner, [0], [layer.origin(*m.span())], [False]))
+                work.append(Layer(inner, [0], [layer.origin(start, end)], [False]))
     return sorted(base), sorted(found), layers, oversize
 
 
