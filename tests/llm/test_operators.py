@@ -116,6 +116,20 @@ def test_secret_wrapped_base64():
     assert not secrets.scan_text("a_long_identifier_here\nand another\n" * 3)[1]
 
 
+def test_secret_layers_that_are_not_text():
+    import base64
+    import gzip
+
+    plain = b"password=hunter2hunter2"
+    for data in (b"\x1b[31m" + plain + b"\x1b[0m", b"HOME=/root\0" + plain + b"\0", "größe=1 ".encode("latin-1") + plain, b"\xff\xfe " + base64.b64encode(plain)):
+        for packed in (data, gzip.compress(data)):
+            run = base64.b64encode(packed).decode()
+            assert (4, 0, 4 + len(run)) in secrets.scan_text(f"see {run} end")[1], data
+            assert "[assign]" in secrets.mask_text(f"see {run} end")
+    for text in ("password%3D%22hunter2hunter2%22%E9", "x%E9%70assword%3Dhunter2", r"\ud800\u0070assword\u003dhunter2"):
+        assert any(k == 0 for _, k, _ in secrets.scan_text(text)[1]), text
+
+
 def test_warc(spark, tmp_path):
     import base64
 

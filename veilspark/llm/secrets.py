@@ -5,6 +5,7 @@ layer that goes on the worklist: URL escapes and backslash-u escapes (whole laye
 line breaks, and base64 runs that hold gzip or zlib data. A layer carries a map from its characters to spans of the original text, so a secret
 found at any depth is reported as the smallest span of the original that produced it. Layers that were seen before
 (same content over the same original span) end their branch, so data that unpack to themselves stop at a fixpoint.
+Every layer is scanned, also if it isn't text: bytes that aren't UTF-8 stand in it as lone surrogates.
 
 A null or empty text has no secrets. Ties are resolved by the output order (start, then kind as listed, then end);
 a span found at several depths is reported once. Repeated rows are scanned again. No text is cut: a packed layer
@@ -66,7 +67,7 @@ class Layer:
 
 
 def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each run of escapes replaced; runs that don't decode stay as they are."""
+    """The layer with each run of escapes replaced."""
     text, at, source, linear, parts, last, size = layer.text, [], [], [], [], 0, 0
 
     def keep(a: int, b: int) -> None:
@@ -83,10 +84,8 @@ def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     changed = False
     for m in pattern.finditer(text):
-        new = decode(m.group())
-        if not new:
-            continue
         changed = True
+        new = decode(m.group())
         keep(last, m.start())
         at.append(size)
         source.append(layer.origin(m.start(), m.end()))
@@ -100,19 +99,13 @@ def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), at, source, linear)
 
 
-def _from_url(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _from_url(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
 
 
-def _from_unicode(run: str) -> str | None:
+def _from_unicode(run: str) -> str:
     units = [int(x[2:], 16) for x in re.findall(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", run)]
-    try:
-        return b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le")
-    except UnicodeDecodeError:
-        return None
+    return b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "surrogatepass")
 
 
 def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
@@ -128,7 +121,7 @@ def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
 
 
 def _unpack(run: str, limit: int) -> tuple[str | None, bool]:
-    """Text inside a base64 run: UTF-8 without control characters, plain or compressed at any depth."""
+    """Text inside a base64 run, plain or compressed at any depth; bytes that aren't UTF-8 become lone surrogates."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         data = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 if len(body) % 4 != 1 else 0))
@@ -143,11 +136,7 @@ def _unpack(run: str, limit: int) -> tuple[str | None, bool]:
         if inner is None:
             break
         data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None, False
-    return (text, False) if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else (None, False)
+    return data.decode("utf-8", "surrogateescape"), False
 
 
 def base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -189,7 +178,7 @@ def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int,
     while work:
         layer = work.pop()
         if not first:
-            key = hashlib.blake2b(f"{layer.source[0][0]}:{layer.source[-1][1]}:".encode() + layer.text.encode()).digest()
+            key = hashlib.blake2b(f"{layer.source[0][0]}:{layer.source[-1][1]}:".encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
             if key in seen:
                 continue
             seen.add(key)
