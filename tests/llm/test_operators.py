@@ -130,6 +130,31 @@ def test_secret_layers_that_are_not_text():
         assert any(k == 0 for _, k, _ in secrets.scan_text(text)[1]), text
 
 
+def test_secret_layers_of_any_size():
+    import base64
+    import gzip
+
+    rng = random.Random(7)
+    plain = b"password=hunter2hunter2"
+    filler = b" ".join(b"%x" % rng.getrandbits(64) for _ in range(9000))
+    members = gzip.compress(b"first") + gzip.compress(b"second " + plain)
+    nested = base64.encodebytes(gzip.compress(filler[:30000] + plain)).strip()
+    limit = 50000
+    for data in (members, gzip.compress(filler + plain), gzip.compress(plain + filler), gzip.compress(gzip.compress(filler + b"\n" + nested + b" " + filler)), gzip.compress(filler) + gzip.compress(plain)):
+        run = base64.b64encode(data).decode()
+        _, spans, layers, unread = secrets.scan_text(f"see {run} end", limit)
+        assert any((s, k) == (4, 0) and e >= 4 + len(run) for s, k, e in spans) and not unread
+        assert secrets.mask_text(f"see {run} end", limit) == "see [assign] end"
+    for at in range(40):  # at any place to the ends of the pieces
+        run = base64.b64encode(gzip.compress(b"x, " * 20 + b"y " * (500 + at) + plain + b"y " * 1200)).decode()
+        assert any(k == 0 for _, k, _ in secrets.scan_text(run, 1000)[1])
+    run = base64.b64encode(gzip.compress(b"q" * 5000000)).decode()  # one run over the limit
+    assert secrets.scan_text(f"see {run} end", limit)[3] == 1 and secrets.mask_text(f"see {run} end", limit) == "see [unread] end"
+    bad = bytearray(gzip.compress(plain))
+    bad[-5] ^= 1  # wrong length at the end
+    assert secrets.scan_text(base64.b64encode(bad).decode())[1]
+
+
 def test_warc(spark, tmp_path):
     import base64
 

@@ -9,7 +9,9 @@ Every layer is scanned, also if it isn't text: bytes that aren't UTF-8 stand in
 
 A null or empty text has no secrets. Ties are resolved by the output order (start, then kind as listed, then end);
 a span found at several depths is reported once. Repeated rows are scanned again. No text is cut: a packed layer
-is unpacked whole unless it would exceed `max_layer_bytes` (64 MiB), which is reported in n_oversize.
+is unpacked in full, all members of it, and one of more than `max_layer_bytes` (64 MiB) is scanned in overlapping
+pieces that don't cut encoded runs. Only a run inside such a layer that is longer than that by itself, or streams in
+streams of that size more than 16 deep, aren't read whole: n_oversize counts them, and mask() puts `[unread]` for them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +41,10 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\\r\n \t-]|(?<=[^\r\n \t])[ \t]")
 MAX_LAYER_BYTES = 64 << 20
+#: Bytes fed to and taken from a stream at once; size and overlap of the pieces of larger layers; streams in streams.
+STEP, CHUNK, PIECE, OVERLAP, DEPTH = 64 << 10, 1 << 20, 4 << 20, 4 << 10, 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,35 +114,121 @@ def _from_unicode(run: str) -> str:
     return b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "surrogatepass")
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """(unpacked, whether it was too large) of gzip or zlib data; (None, False) for other data."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None, False
-    unpack = zlib.decompressobj(47)
-    try:
-        out = unpack.decompress(data, limit)
-        return (None, True) if unpack.unconsumed_tail else (out, False)
-    except zlib.error:
-        return None, False
-
-
-def _unpack(run: str, limit: int) -> tuple[str | None, bool]:
-    """Text inside a base64 run, plain or compressed at any depth; bytes that aren't UTF-8 become lone surrogates."""
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """All members of gzip or zlib data, unpacked in chunks; from where data aren't compressed they come as they are."""
+    data, unpack = b"", None
+    while True:
+        if unpack is None:
+            while len(data) < 3 and (more := next(chunks, b"")):
+                data += more
+            if not _packed(data):
+                break
+            unpack = zlib.decompressobj(47)
+        part, data = data[:STEP], data[STEP:]
+        before = unpack.copy()
+        try:
+            out = unpack.decompress(part, CHUNK)
+        except zlib.error:
+            data = part + data
+            for i in range(len(part)):  # what the bytes before the fault unpack to
+                try:
+                    out = before.decompress(part[i : i + 1])
+                except zlib.error:
+                    break
+                if out:
+                    yield out
+            break
+        if out:
+            yield out
+        if unpack.eof:
+            data = (unpack.unused_data + data).lstrip(b"\0")
+            unpack = None
+            continue
+        data = unpack.unconsumed_tail + data
+        if not data and not (data := next(chunks, b"")):
+            if out := unpack.flush():
+                yield out
+            return
+    if data:
+        yield data
+    yield from chunks
+
+
+def _steps(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + STEP] for i in range(0, len(data), STEP))
+
+
+def _head(chunks: Iterator[bytes], size: int) -> bytes:
+    """The next chunks, size bytes or more unless the data end before."""
+    out, n = [], 0
+    while n < size and (more := next(chunks, b"")):
+        out.append(more)
+        n += len(more)
+    return b"".join(out)
+
+
+def _pieces(chunks: Iterator[bytes], limit: int) -> Iterator[tuple[bytes, bool]]:
+    """(piece, whether a run was cut before it) of data over the limit.
+
+    Pieces overlap, and begin where no run of base64 or escapes goes on, so each run is whole in one of them. Only
+    a run that is longer than the limit is cut.
+    """
+    size, least, depth = min(limit, PIECE), min(limit // 2, OVERLAP), 0
+    head = _head(chunks, size)
+    while _packed(head):
+        rest = _inflate(chain([head], chunks))
+        inner = _head(rest, size)
+        if inner[:size] == head[:size]:  # not compressed, or a fixpoint
+            head, chunks = inner, rest
+            break
+        head, chunks, depth = inner, rest, depth + 1
+        if depth == DEPTH:
+            yield head, True
+            break
+    cut = False
+    while head:
+        more = _head(chunks, size)
+        if not more:
+            yield head, cut
+            return
+        look, at = least, -1
+        while at < 0 and look < len(head):
+            look = min(8 * look + 1, len(head))
+            at = max((m.start() for m in BREAK.finditer(head, max(1, len(head) - look), len(head) - least)), default=-1)
+        if at < 0 and len(head) < limit:
+            head += more
+            continue
+        yield head, cut
+        cut = at < 0
+        head = head[len(head) - least if cut else at :] + more
+
+
+def _unpack(run: str, limit: int) -> Iterator[tuple[str, bool]]:
+    """(layer, whether something before it is unread) inside a base64 run, plain or compressed at any depth.
+
+    Bytes that aren't UTF-8 become lone surrogates. Data of more than `limit` bytes are several layers.
+    """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         data = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 if len(body) % 4 != 1 else 0))
     except (binascii.Error, ValueError):
-        return None, False
+        return
     seen = set()
-    while (key := hashlib.blake2b(data).digest()) not in seen:
+    while (key := hashlib.blake2b(data).digest()) not in seen and _packed(data):
         seen.add(key)
-        inner, large = _inflate(data, limit)
-        if large:
-            return None, True
-        if inner is None:
-            break
+        chunks = _inflate(_steps(data))
+        inner = _head(chunks, limit + 1)
+        if len(inner) > limit:
+            for piece, cut in _pieces(chain(_steps(inner), chunks), limit):
+                yield piece.decode("utf-8", "surrogateescape"), cut
+            return
         data = inner
-    return data.decode("utf-8", "surrogateescape"), False
+    if data:
+        yield data.decode("utf-8", "surrogateescape"), False
 
 
 def base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -170,33 +262,46 @@ def base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
-    """(base spans, all spans, decoded layers, oversize layers), spans as (start, kind index, end), sorted."""
+    """(base spans, all spans, decoded layers, unread runs), spans as (start, kind index, end), sorted."""
+    base, found, layers, unread = _scan(text, limit)
+    return base, found, layers, len(unread)
+
+
+def _scan(text: str, limit: int) -> tuple[list, list, int, list]:
+    """As scan_text, with the (start, end) of the original spans that hold a run too long to read whole."""
     base = base_spans(text)
-    found, work, layers, oversize = set(base), [Layer(text, [0], [(0, len(text))], [True])], 0, 0
+    found, layers, unread = set(base), 0, set()
     seen: set[bytes] = set()
-    first = True
+    work = [_children(Layer(text, [0], [(0, len(text))], [True]), limit)]
     while work:
-        layer = work.pop()
-        if not first:
-            key = hashlib.blake2b(f"{layer.source[0][0]}:{layer.source[-1][1]}:".encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            for s, k, e in base_spans(layer.text):
-                low, high = layer.origin(s, e)
-                found.add((low, k, high))
-        first = False
-        if "%" in layer.text and (new := unescape(layer, URL, _from_url)):
-            work.append(new)
-        if "\\" in layer.text and (new := unescape(layer, UNICODE, _from_unicode)):
-            work.append(new)
-        for run, start, end in base64_runs(layer.text):
-            inner, large = _unpack(run, limit)
-            oversize += large
-            if inner:
-                work.append(Layer(inner, [0], [layer.origin(start, end)], [False]))
-    return sorted(base), sorted(found), layers, oversize
+        layer, cut = next(work[-1], (None, False))
+        if layer is None:
+            work.pop()
+            continue
+        low, high = layer.source[0][0], layer.source[-1][1]
+        if cut:
+            unread.add((low, high))
+        key = hashlib.blake2b(f"{low}:{high}:".encode() + layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        for s, k, e in base_spans(layer.text):
+            low, high = layer.origin(s, e)
+            found.add((low, k, high))
+        work.append(_children(layer, limit))
+    return sorted(base), sorted(found), layers, sorted(unread)
+
+
+def _children(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
+    """(layer, whether something before it is unread) for what is encoded in a layer, one at a time."""
+    if "%" in layer.text and (new := unescape(layer, URL, _from_url)):
+        yield new, False
+    if "\\" in layer.text and (new := unescape(layer, UNICODE, _from_unicode)):
+        yield new, False
+    for run, start, end in base64_runs(layer.text):
+        for inner, cut in _unpack(run, limit):
+            yield Layer(inner, [0], [layer.origin(start, end)], [False]), cut
 
 
 def spans_text(spans: list) -> str:
@@ -240,13 +345,15 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return df.mapInArrow(run, df.schema)
 
 
-def mask_text(text: str) -> str:
-    spans = scan_text(text)[1]
+def mask_text(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> str:
+    """The text with its secrets as `[kind]`, and with what can't be read whole as `[unread]`."""
+    _, found, _, unread = _scan(text, max_layer_bytes)
+    spans = sorted([(s, KINDS[k], e) for s, k, e in found] + [(s, "unread", e) for s, e in unread], key=lambda x: (x[0], x[1] == "unread"))
     if not spans:
         return text
     parts, last = [], 0
-    for s, k, e in spans:
+    for s, kind, e in spans:
         if s >= last:
-            parts += [text[last:s], f"[{KINDS[k]}]"]
+            parts += [text[last:s], f"[{kind}]"]
         last = max(last, e)
     return "".join([*parts, text[last:]])
