@@ -263,6 +263,14 @@ def test_neardup_edges(spark):
     assert 2 * (1 - 0.85**neardup.HALF) ** m <= 2e-4
 
 
+def test_neardup_large_ids_beside_null_ids(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    rows = [(None, "no id"), (2**60 + 1, text), (2**60 + 3, text + " end"), (2**60 + 7, "end " + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {None: (None, True), 2**60 + 1: (2**60 + 1, True), 2**60 + 3: (2**60 + 1, False), 2**60 + 7: (2**60 + 1, False)}
+
+
 def test_chat(spark, sf_dir):
     got = queries.op6_chat(spark, sf_dir)
     turns = defaultdict(list)

@@ -235,8 +235,10 @@ def _sets(docs: DataFrame, families: DataFrame, width: int) -> DataFrame:
     """(id, items): sorted shingle hashes of documents of a family, and of a few others.
 
     A filter of 2**FILTER_BITS bits spares most other texts; it has the same size whatever the input, and the join
-    with the families drops what it lets through.
+    with the families drops what it lets through. Ids are never null here: with a null, Arrow gives NumPy floats, which
+    round large ids.
     """
+    docs = docs.filter("doc_id is not null")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
