@@ -210,6 +210,22 @@ def test_license_inheritance(spark):
     assert license.scan(df.limit(0), F.col("where")).count() == 0
 
 
+def test_license_standard_headers_and_texts(spark):
+    import textwrap
+
+    code = "\n".join(f"    value_{i} = compute(first_{i}, second_{i})  # step {i}" for i in range(60))
+    rows, want = [], {}
+    for n, (_, name, kind, body) in enumerate(license.STANDARD):
+        for k, (lead, tail) in enumerate((("# ", code), (" * ", ""))):
+            block = "\n".join(textwrap.wrap("Copyright (C) 2020 Some Author. " + body, 72, initial_indent=lead, subsequent_indent=lead))
+            rows.append((10 * n + k, f"{n}/{k}.py", f"{block}\n{tail}"))
+            want[10 * n + k] = name
+    rows += [(9000, "x", "# the GNU General Public License, either version 3, was discussed here with the author\n" + code), (9001, "y", license._GNU.format(" Lesser", "2.1") + license._SEE)]
+    df = spark.createDataFrame(rows, "doc_id long, where string, text string")
+    got = {r.doc_id: r.own_license for r in license.scan(df, F.col("where")).collect()}
+    assert {i: got[i] for i in want} == want and got[9000] is None and got[9001] is None
+
+
 def shingles(text, width):
     words = [w.translate(AZ) for w in WORD.findall(text or "")]
     if not words:

@@ -7,6 +7,11 @@ within lines). Statements that hold a cue word, which every template holds, are
 that has such a statement is compared as a whole with the licence texts. The best match at or above its threshold
 is the text's own licence.
 
+A text with a cue word is also searched for standard headers and whole texts (STANDARD) at any
+place and in any wrapping: windows of a template's number of terms, an eighth of it apart, are compared with those
+templates whose phrase (name and version, or first words) they hold. The better score of the two searches counts, the
+first search's if they are equal. The SQL states the scan without this search.
+
 A file without an own licence takes that of the nearest directory above it that has a notice: a licence file by its name,
 or a text that is a licence as a whole, or with notice="any" every file with an own licence. Ancestors
 are listed once per directory, not per file, and found by an equi-join on paths.
@@ -18,6 +23,9 @@ rows of one id should have one text. An empty table gives no rows. Other columns
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +70,37 @@ TEXTS = [
 ]
 TEMPLATES = [(f"{n:02d}", name, "header", body) for n, (name, body) in enumerate(NOTICES)] + [(f"{n:02d}", name, "file", body) for n, (name, body) in enumerate(TEXTS, len(NOTICES))]
 
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU{0} General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU{0} General Public License for more details. You should have received a copy of the GNU{0} General Public License along with this program. If not, "
+_SEE = "see <https://www.gnu.org/licenses/>."
+_WRITE = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_CC = 'This work is licensed under the Creative Commons {0} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{1}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.'
+_HEADERS = [(name, _GNU.format(word, version) + end) for name, word, version in (("AGPL-3.0", " Affero", 3), ("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", " Lesser", 3)) for end in (_SEE, _WRITE)] + [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("CC-BY-4.0", _CC.format("Attribution", "by")),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial", "by-nc")),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike", "by-sa")),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+_GPL = r"\bgnu{} general public license (as published by the free software foundation )?(either )?v(ersion )?{}\b"
+#: What a window must hold, in terms with single spaces between, to be compared with the templates of a licence.
+PHRASES = {
+    "0BSD": r"\bpermission to use copy modify and or distribute this software\b", "AGPL-3.0": _GPL.format(" affero", 3), "Apache-2.0": r"\bapache license version 2\.0\b",
+    "BSD-2-Clause": r"\bredistribution and use in source and binary forms\b", "BSD-3-Clause": r"\bneither the names? of\b", "CC-BY-4.0": r"\bcreative commons attribution 4\.0\b",
+    "CC-BY-NC-4.0": r"\bcreative commons attribution-noncommercial 4\.0\b", "CC-BY-SA-4.0": r"\bcreative commons attribution-sharealike 4\.0\b", "CC0-1.0": r"\bcc0\b", "GPL-2.0": _GPL.format("", 2),
+    "GPL-3.0": _GPL.format("", 3), "ISC": r"\bpermission to use copy modify and or distribute this software\b", "LGPL-3.0": _GPL.format(" lesser", 3), "MIT": r"\bpermission is hereby granted free of charge\b",
+    "MPL-2.0": r"\bmozilla public license v(ersion)? ?2\.0\b", "Unlicense": r"\bfree and unencumbered software\b",
+}
+
+
+def _standard() -> list[tuple[str, str, str, str]]:
+    whole = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    rows = [(n, "header", b) for n, b in _HEADERS] + [(n, "file", b) for n, b in TEXTS + whole]
+    return [(f"s{i:02d}", *r) for i, r in enumerate(rows)]
+
+
+STANDARD = _standard()
+
 
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,12 +110,12 @@ def _terms(c: Column) -> Column:
     return F.regexp_extract_all(_lower(c), F.lit(TERM), F.lit(0))
 
 
-def template_vectors(spark: SparkSession) -> DataFrame:
-    """(template, license, kind, term, weight, idf, norm) of the fixed templates: a few hundred rows at any input size."""
-    rows = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("template", "license", "kind", "body"), t, strict=True)]) for t in TEMPLATES]))
+def template_vectors(spark: SparkSession, templates: list = TEMPLATES) -> DataFrame:
+    """(template, license, kind, term, weight, idf, norm) of fixed templates: the same few rows at any input size."""
+    rows = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("template", "license", "kind", "body"), t, strict=True)]) for t in templates]))
     t = spark.range(1).select(rows.alias("t")).select("t.*")
     t = t.select("template", "license", "kind", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "kind", "term").agg(F.count("*").alias("tf"))
-    idf = t.groupBy("term").agg((F.log((1.0 + len(TEMPLATES)) / (1 + F.count("*"))) + 1).alias("idf"))
+    idf = t.groupBy("term").agg((F.log((1.0 + len(templates)) / (1 + F.count("*"))) + 1).alias("idf"))
     t = t.join(F.broadcast(idf), "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return t.join(F.broadcast(norm), "template").select("template", "license", "kind", "term", "weight", "idf", "norm")
@@ -104,6 +143,31 @@ def own_licenses(docs: DataFrame) -> DataFrame:
     return best.select(F.col("doc_id").alias("own_id"), F.col("b.license").alias("own_license"), F.col("b.kind").alias("own_kind"), (-F.col("b.s")).alias("own_score"))
 
 
+def standard_licenses(docs: DataFrame) -> DataFrame:
+    """As own_licenses, for texts that hold a standard header or whole licence at any place, however wrapped."""
+    t = template_vectors(docs.sparkSession, STANDARD)
+    count = lambda body: len(re.findall(TERM, body.lower()))
+    shapes = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(kind).alias("form"), F.lit(count(body)).alias("length"), F.lit(PHRASES[name]).alias("phrase")) for i, name, kind, body in STANDARD]))
+    d = docs.filter(F.col("text").rlike("(?i)" + CUE)).select("doc_id", _terms(F.col("text")).alias("terms"))
+    d = d.filter(F.array_join("terms", " ").rlike("|".join(sorted(set(PHRASES.values()))))).select("doc_id", "terms", shapes.alias("s")).select("doc_id", "terms", "s.*")
+    d = d.filter(F.rlike(F.array_join("terms", " "), F.col("phrase")))
+    last = F.greatest(F.size("terms") - F.col("length"), F.lit(0))
+    step = F.greatest(F.floor(F.col("length") / 8), F.lit(1)).cast("int")
+    d = d.withColumn("pos", F.explode(F.array_union(F.sequence(F.lit(0), last, step), F.array(last))))
+    kind = F.when((F.col("form") == "file") & (F.size("terms") <= 1.25 * F.col("length")), "file").otherwise("header")
+    d = d.select("doc_id", "template", "license", "form", kind.alias("kind"), "pos", "phrase", F.slice("terms", F.col("pos") + 1, F.col("length")).alias("window"))
+    d = d.filter(F.rlike(F.array_join("window", " "), F.col("phrase"))).select("doc_id", "template", "license", "form", "kind", "pos", F.explode("window").alias("term"))
+    tf = d.groupBy("doc_id", "template", "license", "form", "kind", "pos", "term").agg(F.count("*").alias("tf"))
+    unseen = F.log(F.lit(1.0 + len(STANDARD)) / 2) + 1
+    tf = tf.join(F.broadcast(t.select("term", "idf").distinct()), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
+    tf = tf.join(F.broadcast(t.select("template", "term", "weight")), ["template", "term"], "left")
+    dots = tf.groupBy("doc_id", "template", "license", "form", "kind", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))).alias("dot"))
+    dots = dots.join(F.broadcast(t.select("template", "norm").distinct()), "template")
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("size") * F.col("norm")), 6)).filter(F.col("score") >= F.when(F.col("form") == "file", FILE_LEAST).otherwise(HEADER_LEAST))
+    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "kind")).alias("b"))
+    return best.select(F.col("doc_id").alias("own_id"), F.col("b.license").alias("own_license"), F.col("b.kind").alias("own_kind"), (-F.col("b.s")).alias("own_score"))
+
+
 def inherited(files: DataFrame, notice: str = "files") -> DataFrame:
     """Adds `dir`, inherited_license and inherited_from to rows of (path, own_license, own_kind, own_score)."""
     files = files.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
@@ -126,7 +190,9 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     from . import common
 
     docs = common.id_text(df, id_col, text_col)
-    own = common.materialize(own_licenses(docs), "licenses")
+    found = own_licenses(docs).withColumn("search", F.lit(0)).unionByName(standard_licenses(docs).withColumn("search", F.lit(1)))
+    found = found.groupBy("own_id").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "search", "own_license", "own_kind")).alias("b"))
+    own = common.materialize(found.select("own_id", "b.own_license", "b.own_kind", (-F.col("b.s")).alias("own_score")), "licenses")
     files = df.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"))
     files = files.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
     out = inherited(files, notice)
