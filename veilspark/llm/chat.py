@@ -10,7 +10,10 @@ backslashes that would be read as one.
 Formatted output is one row per turn, so a conversation of any length streams; its rows in turn order, joined, are
 the formatted conversation. Turns are ordered by turn, then role and text (ties and repeated rows stay, each as a
 turn of its own). A null text is empty, a null role is "". Rows with a null conversation id form one conversation. An
-empty table gives no rows. Other columns are not read.
+empty table gives no rows. Other columns are not read. A part's extent that isn't a sensible number counts as its
+default, a part of another type is written as JSON, and content that isn't a list of typed parts is plain text.
+
+All turns of a conversation come to one task, in order, since its digests run through its whole text.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 #: Control strings of the template; none is a prefix of another.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role:", "<|attach:", "|>")
 _ANY = "|".join(map(re.escape, CONTROLS))
-_ESCAPE = re.compile(rf"\\+(?={_ANY}|\Z)|(?:{_ANY})")
-_UNESCAPE = re.compile(rf"(\\+)({_ANY}|\Z)")
+# Runs of backslashes are taken whole, from their first one, so no text takes more than linear time.
+_ESCAPE = re.compile(rf"(?<!\\)\\++(?={_ANY}|\Z)|(?:{_ANY})")
+_UNESCAPE = re.compile(rf"(?<!\\)(\\++)({_ANY}|\Z)")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 OPEN = {"user": "[INST] ", "system": "<<SYS>> ", "assistant": "<s> "}
 CLOSE = {"user": " [/INST]", "system": " <</SYS>>", "assistant": " </s>"}
 
@@ -43,6 +48,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], text)
 
 
+def _extent(value, default: float) -> float:
+    """A declared width, length or number of pages; the default where it isn't a number between 0 and a million."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return number if 0 < number <= 1e6 else default
+
+
 class Visitor:
     """Flattens typed parts into text with placeholders. Token counts follow from a part's declared extent."""
 
@@ -55,16 +69,17 @@ class Visitor:
         handler(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(str(part.get("text") or "")))
+        text = part.get("text")
+        self.out.append(escape("" if text is None else str(text)))
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, ceil(int(part.get("width") or 336) / 14) * ceil(int(part.get("height") or 336) / 14))
+        self._attach("image", part, ceil(_extent(part.get("width"), 336) / 14) * ceil(_extent(part.get("height"), 336) / 14))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, ceil(float(part.get("seconds") or 0) * 25))
+        self._attach("audio", part, ceil(_extent(part.get("seconds"), 0) * 25))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, int(part.get("pages") or 1) * 512)
+        self._attach("document", part, ceil(_extent(part.get("pages"), 1)) * 512)
 
     def visit_other(self, part: dict) -> None:
         self.out.append(escape(json.dumps(part, ensure_ascii=False, sort_keys=True)))
@@ -77,18 +92,23 @@ class Visitor:
 def flatten(content: str, typed: bool) -> tuple[str, list[dict]]:
     """(escaped text with placeholders, attachments). Only with typed is a JSON array of objects read as parts."""
     if typed and content[:1] == "[":
+        v = Visitor()
         try:
             parts = json.loads(content)
-        except ValueError:
-            parts = None
-        if isinstance(parts, list) and parts and all(isinstance(p, dict) and "type" in p for p in parts):
-            v = Visitor()
-            for p in parts:
-                v.visit(p)
-            return "".join(v.out), v.attachments
+            if isinstance(parts, list) and parts and all(isinstance(p, dict) and "type" in p for p in parts):
+                for p in parts:
+                    v.visit(p)
+                return _whole("".join(v.out)), [x | {"ref": _whole(x["ref"])} for x in v.attachments]
+        except (ValueError, RecursionError):  # not JSON, or nested beyond any use: plain text
+            pass
     return escape(content), []
 
 
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs, which JSON can name but no text can hold, as replacement characters."""
+    return text if text.isascii() else _SURROGATE.sub("\ufffd", text)
+
+
 def segment(role: str, content: str, typed: bool = False) -> tuple[str, int, int, list[dict]]:
     """(formatted turn, start and end of its text, attachments)."""
     text, attachments = flatten(content, typed)
@@ -96,7 +116,7 @@ def segment(role: str, content: str, typed: bool = False) -> tuple[str, int, int
     return start + text + CLOSE.get(role, " </s>"), len(start), len(start) + len(text), attachments
 
 
-_MARK = re.compile(rf"(\\*)({_ANY})")
+_MARK = re.compile(rf"(?<!\\)(\\*+)({_ANY})")
 
 
 def _next_mark(text: str, at: int, marks: tuple[str, ...]) -> re.Match:
@@ -152,21 +172,31 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return rows.mapInArrow(run, "conv_id long, seq long, formatted string, text_start long, text_end long, in_loss boolean, attachments array<struct<kind:string,ref:string,tokens:long>>")
 
 
+def as_parts(text: str = "text"):
+    """A column of plain texts as content of one text part each, for the visitor; null stays null."""
+    part = F.struct(F.lit("text").alias("type"), F.col(text).alias("text"))
+    return F.when(F.col(text).isNotNull(), F.to_json(F.array(part)))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from format_turns' output.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, attached_tokens),
+    parsed from format_turns' output.
 
     Rows must come as format_turns gives them; the digests of a conversation are built turn by turn.
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attached_tokens"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     class Sums:
         def __init__(self, conv):
             self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
             self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+            self.attached, self.tokens = 0, 0
 
-        def add(self, formatted: str, a: int, b: int, in_loss: bool) -> None:
+        def add(self, formatted: str, a: int, b: int, in_loss: bool, attached: int, tokens: int) -> None:
             self.chars += len(formatted)
+            self.attached += attached
+            self.tokens += tokens
             for role, start, end in parse(formatted):
                 self.turns += 1
                 self.all.update(f"{role}\n{unescape(formatted[start:end])}\n".encode())
@@ -176,7 +206,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 self.loss.update(text.encode())
 
         def row(self) -> tuple:
-            return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+            return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.attached, self.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
@@ -193,5 +223,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(sums.row(), types, strict=True)], names)
 
-    cols = formatted.select("conv_id", "formatted", "text_start", "text_end", "in_loss")
-    return cols.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, x: n + x["tokens"])
+    cols = formatted.select("conv_id", "formatted", "text_start", "text_end", "in_loss", F.size("attachments").alias("n"), tokens.alias("tokens"))
+    return cols.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attached_tokens long")
