@@ -30,6 +30,7 @@ from . import common
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 BLOCK = 512
 NO_ID = -(1 << 63)  # stands in the index for a missing page_id
+STEP = 8 << 10  # bytes handed to the unpacker at once
 FAN_IN = 512  # runs merged at once by one tree; more are merged in rounds
 
 
@@ -71,19 +72,22 @@ def parse(data: bytes) -> dict:
 
 
 def members(stream) -> Iterator[bytes]:
-    """Unpacked gzip members of a stream, one at a time."""
-    pack, parts = zlib.decompressobj(31), []
+    """Unpacked gzip members of a stream, one at a time; what is read is handed on in small steps, so many small
+    members cost no copies of all that follows them."""
+    pack, parts, data, at = zlib.decompressobj(31), [], b"", 0
     while True:
-        data = pack.unused_data if pack.eof else b""
+        if at == len(data):
+            data, at = stream.read(1 << 20), 0
+            if not data:
+                if parts or pack.unconsumed_tail:
+                    raise ValueError("archive ends inside a member")
+                return
+        step = data[at : at + STEP]
+        parts.append(pack.decompress(step))
+        at += len(step) - len(pack.unused_data)
         if pack.eof:
             yield b"".join(parts)
             pack, parts = zlib.decompressobj(31), []
-        data = data or stream.read(1 << 20)
-        if not data:
-            if parts:
-                raise ValueError("archive ends inside a member")
-            return
-        parts.append(pack.decompress(data))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -157,8 +161,8 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _records(rows)
 
-    paths = archives.select("archive")
-    return paths.repartition("archive").mapInArrow(run, "page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of paths aren't one task
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(run, "page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def _records(rows: list) -> pa.RecordBatch:
@@ -265,7 +269,7 @@ def merge_index(archives: DataFrame, ranges: int | None = None) -> DataFrame:
                 yield _captures(rows)
 
     placed = archives.select("run", "blocks").mapInArrow(place, "part int, run string, offset long, length long")
-    return placed.repartition("part").sortWithinPartitions("part", "run", "offset").mapInArrow(run, "part int, pos long, url_key string, date string, page_id long, archive string, offset long, length long")
+    return placed.repartition(ranges, "part").sortWithinPartitions("part", "run", "offset").mapInArrow(run, "part int, pos long, url_key string, date string, page_id long, archive string, offset long, length long")
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
@@ -296,5 +300,6 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     records = read(archives).drop("payload", "url", "date")
     index = merge_index(archives).select(F.nullif("page_id", F.lit(NO_ID)).alias("id"), "part", "pos")
     index = index.groupBy("id").agg(F.min(F.struct("part", "pos")).alias("at"))
-    out = records.join(index, records.page_id.eqNullSafe(index.id), "left")
+    # a sort-merge join: the index grows with the pages, so it is never broadcast, whatever its size is thought to be
+    out = records.join(index.hint("merge"), records.page_id.eqNullSafe(index.id), "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("at.part").alias("index_part"), F.col("at.pos").alias("index_pos"))
