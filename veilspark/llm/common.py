@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,14 +20,21 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, else (tests) a temporary one."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir; in local mode only, else a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a temporary folder is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,12 +55,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that `materialize` wrote, once everything built on it is written itself."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path in it, for files in the shared folder that are not tables."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    """File system and path in it, for files in the shared folder that are not tables.
+
+    Names that Hadoop gives to object stores become those of Arrow's own clients.
+    """
+    scheme, mark, rest = path.partition("://")
+    if mark:
+        path = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}.get(scheme, scheme) + mark + rest
+    try:
+        return fs.FileSystem.from_uri(path if mark or path.startswith("file:") else "file://" + path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"spark.checkpoint.dir is on a store that Python workers can't open: {scheme}") from e
+
+
+_held: dict = {}
+
+
+def held(key: Hashable, make: Callable = object):
+    """What an operator keeps in a Python worker between tasks, made by the first that needs it.
+
+    Workers serve one operator after another, so whatever another one kept is let go of here, and its memory given back.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

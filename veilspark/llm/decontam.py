@@ -8,8 +8,9 @@ search runs per item size over all windows of that size in whole texts:
 2. The windows left, and the items, are embedded by CGK random walks: reading position i moves on by a random bit that
    depends on step and symbol, so a few edits change few steps of the walk and edit distance becomes Hamming distance.
 3. Bit-sampling tables over the embeddings pair windows with items; walks and tables are repeated until a pair at the
-   largest allowed distance is found with probability `recall`. The success rate of one table is measured on the items
-   themselves, edited at random at that distance.
+   largest allowed distance is found with probability `recall`. The success rate is measured for each item size, on
+   items of that size, edited at random at that distance. Where MOST tables don't reach the target, all items that
+   share a run with a window are its candidates, which misses none.
 4. Candidates are verified by exact edit distance over words, against the nearest stretch around the windows found.
 
 The items are held by every worker; `search` checks their size first (`max_item_bytes`) and deals them in blocks
@@ -20,6 +21,7 @@ side gives no rows (`drop_contaminated`: drops none). Other columns are not read
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -34,7 +36,8 @@ from .shingles import mix, words_of
 
 GRAM = 3
 SAMPLED = 3
-WALKS = 4
+#: Tables that share one walk, and the number of tables from which candidates by shared runs are cheaper.
+PER_WALK, MOST = 8, 512
 
 
 def nearest_end(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -50,13 +53,18 @@ def nearest_end(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _steps(w: int) -> int:
+    """Steps of a walk over w symbols that it takes before its end, but for a few walks in a hundred."""
+    return max(1, int(2 * w - 2 * (2 * w) ** 0.5))
+
+
 def _walk(symbols: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of the rows of symbols (n, w): (n, 3 * w), zero once the walk has run past the end."""
+    """CGK embeddings of the rows of symbols (n, w): (n, steps), zero where a walk has run past the end."""
     n, w = symbols.shape
-    at, out = np.zeros(n, np.int64), np.zeros((n, 3 * w), np.uint64)
+    at, out = np.zeros(n, np.int64), np.zeros((n, _steps(w)), np.uint64)
     padded = np.concatenate([symbols, np.zeros((n, 1), np.uint64)], axis=1)
     every = np.arange(n)
-    for step in range(3 * w):
+    for step in range(out.shape[1]):
         read = padded[every, at]
         out[:, step] = read
         bit = (mix(read * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + step + 1)) >> np.uint64(17)) & np.uint64(1)
@@ -65,44 +73,47 @@ def _walk(symbols: np.ndarray, seed: int) -> np.ndarray:
 
 
 def table_keys(symbols: np.ndarray, tables: int) -> np.ndarray:
-    """(n, tables) keys: SAMPLED positions of one of WALKS embeddings each."""
+    """(n, tables) keys: SAMPLED positions of an embedding each, PER_WALK tables to a walk."""
     n, w = symbols.shape
     rng = np.random.default_rng(w)
     out = np.empty((n, tables), np.uint64)
-    for walk in range(min(WALKS, tables)):
-        embedded = _walk(symbols, walk)
-        for t in range(walk, tables, WALKS):
-            key = np.full(n, t + 1, np.uint64)
-            for p in rng.integers(0, 3 * w, SAMPLED):
-                key = mix(key + embedded[:, p])
-            out[:, t] = key
+    for t in range(tables):
+        if t % PER_WALK == 0:
+            embedded = _walk(symbols, t // PER_WALK)
+        key = np.full(n, t + 1, np.uint64)
+        for p in rng.integers(0, embedded.shape[1], SAMPLED):
+            key = mix(key + embedded[:, p])
+        out[:, t] = key
     return out
 
 
-def tables_for(items: list[np.ndarray], edits: int, recall: float, most: int = 512) -> int:
-    """Tables (a power of two) at which items with `edits` random edits are found with the given rate."""
-    rng = np.random.default_rng(5)
-    plain, edited = [], []
+def edited(words: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+    """Words after random replacements, insertions and deletions."""
+    words = list(words)
+    for kind, p in zip(rng.integers(0, 3, edits).tolist(), rng.integers(0, 1 << 30, edits).tolist(), strict=True):
+        new = int(rng.integers(1, 1 << 62))
+        if kind == 1:
+            words.insert(p % (len(words) + 1), new)
+        elif kind == 0 or len(words) == 1:
+            words[p % len(words)] = new
+        else:
+            del words[p % len(words)]
+    return words
+
+
+def tables_for(items: list[np.ndarray], edits: int, recall: float, trials: int = 400) -> int:
+    """Tables (a power of two) at which items of one size with `edits` random edits are found with the given rate; 0
+    where MOST don't do."""
     w = len(items[0])
-    for n in range(160):
-        item = items[n % len(items)]
-        words = item.tolist()
-        for kind, p in zip(rng.integers(0, 3, edits), rng.integers(0, w, edits), strict=True):
-            new = int(rng.integers(1, 1 << 62))
-            if kind == 0:
-                words[p % len(words)] = new
-            elif kind == 1:
-                words.insert(p % (len(words) + 1), new)
-            elif len(words) > 1:
-                del words[p % len(words)]
-        plain.append(item)
-        edited.append((words + [int(x) for x in rng.integers(1, 1 << 62, w)])[:w])
-    tables = 32
-    while True:
-        hit = (table_keys(np.array(plain, np.uint64), tables) == table_keys(np.array(edited, np.uint64), tables)).any(axis=1).mean()
-        if hit >= recall or tables >= most:
+    rng = np.random.default_rng(w + 5)
+    plain = [items[n % len(items)] for n in range(trials)]
+    other = [(edited(x.tolist(), edits, rng) + rng.integers(1, 1 << 62, w).tolist())[:w] for x in plain]
+    tables = 16
+    while tables <= MOST:
+        if (table_keys(np.array(plain, np.uint64), tables) == table_keys(np.array(other, np.uint64), tables)).any(axis=1).mean() >= recall:
             return tables
         tables *= 2
+    return 0
 
 
 def _by_id(row: tuple) -> tuple:
@@ -126,7 +137,8 @@ class Items:
         for w, items in self.sizes.items():
             symbols = self.symbol[np.array([x for _, x in items])]
             index: dict[int, list[int]] = defaultdict(list)
-            for i, row in enumerate(table_keys(symbols, tables.get(w, 1)).tolist()):
+            keys = table_keys(symbols, tables.get(w, 1)) if tables.get(w, 1) else self._runs(w, np.array([x for _, x in items]))
+            for i, row in enumerate(keys.tolist()):
                 for key in set(row):
                     index[key].append(i)
             self.tables[w] = (tables.get(w, 1), dict(index), np.array(sorted(index), np.uint64))
@@ -151,6 +163,10 @@ class Items:
             whole &= part > 0
         return out * whole
 
+    def _runs(self, w: int, codes: np.ndarray) -> np.ndarray:
+        """The runs of each row that count for the filter, as keys; a window within reach of an item shares one at least."""
+        return (codes if self.needed(w)[0] == 1 else self.gram_codes(codes)).astype(np.uint64)
+
     def _starts(self, w: int, places: np.ndarray) -> np.ndarray:
         """Window starts with enough grams, from the sorted places of grams of items of w words."""
         gram, need = self.needed(w)
@@ -199,8 +215,8 @@ class Items:
             for block in range(0, len(at), 20_000):
                 some = at[block : block + 20_000]
                 window = joined[some[:, None] + np.arange(w)]
-                found = table_keys(self.symbol[window] * (window > 0), n)
-                hit = keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
+                found = table_keys(self.symbol[window] * (window > 0), n) if n else self._runs(w, window)
+                hit = (keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found) & (found > 0)
                 for i in np.flatnonzero(hit.any(axis=1)).tolist():
                     at_word = int(some[i])
                     doc = max(0, int(np.searchsorted(starts, at_word + w // 2, side="right")) - 1)
@@ -232,15 +248,13 @@ class Items:
 
 
 def plan_tables(rows: list[tuple[int, str]], rate: float, recall: float) -> dict[int, int]:
-    """Number of tables for each item size, measured on up to eight sizes and read off the next larger one."""
+    """Number of tables for each item size that allows edits."""
     rng = np.random.default_rng(3)
     sizes: dict[int, list] = defaultdict(list)
     for _, text in sorted(rows, key=_by_id):
         if words := words_of(text or ""):
             sizes[len(words)].append(rng.integers(1, 1 << 62, len(words), dtype=np.uint64))
-    every = sorted(w for w in sizes if int(rate * w))
-    measured = {w: tables_for(sizes[w], int(rate * w), recall) for w in {*every[:: max(1, len(every) // 7)], *every[-1:]}}
-    return {w: max(n for x, n in measured.items() if x >= w or x == max(measured)) if measured else 1 for w in every}
+    return {w: tables_for(items, int(rate * w), recall) for w, items in sizes.items() if int(rate * w)}
 
 
 def search(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
@@ -254,26 +268,20 @@ def search(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float
 
 
 def _item_blocks(benchmark: DataFrame, rate: float, recall: float, item_col: str, item_text: str, max_item_bytes: int) -> Iterator:
-    """Broadcasts of the items in blocks of max_item_bytes or so, however many items there are."""
+    """(name, broadcast) of the items in blocks of max_item_bytes or so, however many there are; those of one id together."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = -(-total // max_item_bytes) or 1
     for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         rows = [(r.item, r.words) for r in part.collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables(rows, rate, recall)))
-
-
-_made: dict = {}
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables(rows, rate, recall)))
 
 
-def _items(shared, rate: float) -> Items:
-    """The items of a broadcast, made ready once per Python worker."""
-    key = (id(shared.value), rate)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Items(shared.value[0], rate, shared.value[1])
-    return _made[key]
+def _items(block, rate: float) -> Items:
+    """The items of a block, made ready once per Python worker."""
+    name, shared = block
+    return common.held(("decontam", name, rate), lambda: Items(shared.value[0], rate, shared.value[1]))
 
 
 def _searcher(shared, rate: float):

@@ -77,6 +77,7 @@ def signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
     """(doc_id, n, fp, sketch): set size, 128-bit fingerprint of the set and minhashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("neardup")
         hashes = WordHash()
         for ids, texts in common.texts_of(batches):
             sets = [shingle_set(words_of(t), hashes, width) for t in texts]
@@ -256,7 +257,7 @@ def _sets(docs: DataFrame, families: DataFrame, width: int) -> DataFrame:
             some = batch.filter(pa.array(bits[_bits(np.asarray(batch.column(0)))]))
             for ids, texts in common.texts_of(iter([some])):
                 items = [shingle_set(words_of(t), hashes, width).tobytes() for t in texts]
-                hashes.trim()
+                hashes.trim(200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
     return docs.mapInArrow(run, "id long, items binary")

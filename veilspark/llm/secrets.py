@@ -337,6 +337,7 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     at = df.schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("secrets")
         for batch in batches:
             for part in common.slices(batch, at):
                 out = [None if t is None else mask_text(t) for t in part.column(at).to_pylist()]
