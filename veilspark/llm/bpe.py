@@ -8,25 +8,58 @@ many words share is encoded once. A word's encoding is read by following last to
 
 Null and empty texts have no tokens. Repeated rows give repeated rows; columns other than the id and the text
 are not read. A text is encoded whole, however long; memory is bounded by the slices of `common.texts_of`, one
-text, and word caches that keep what is in use when they are full.
+text, and word caches that keep what is in use when they are full. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import common
 
+#: Fixed value: how byte-level vocabularies of this kind cut texts into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 350_000
+#: Bytes that a cache takes up before what isn't in use is let go of, twice that in all; pairs known to stay apart.
+CHUNK_CACHE, WORD_CACHE, PAIRS = 32 << 20, 12 << 20, 300_000
+ENTRY = 180  # bytes of a cache entry besides its key and its ids
+SLICE_BYTES = 1 << 20
+
+
+class Cache(dict):
+    """Encodings by key. When full it becomes the older one, from which what is asked for moves over."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.used, self.older = most, 0, {}
+
+    def turn(self) -> None:
+        """Called between batches, so that nothing is lost within one."""
+        if self.used > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.used = 0
+
+    def missing(self, keys: set) -> set:
+        """The keys that aren't known; those of the older cache are taken over."""
+        new = keys.difference(self)
+        if self.older:
+            for k in new & self.older.keys():
+                self.put(k, self.older[k])
+            new = {k for k in new if k not in self}
+        return new
+
+    def put(self, key, ids: bytes | None) -> None:
+        self[key] = ids
+        self.used += ENTRY + len(key[0] if isinstance(key, tuple) else key) + len(ids or b"")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,7 +95,6 @@ class TrieBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.made = {new: (rank, a, b) for (a, b), (rank, new) in reversed(self.merges.items())}
-        self.rank = {pair: rank for pair, (rank, _) in self.merges.items()}
         #: Trained merges only join what earlier ones made; then a token's edge nodes come and go in rank order.
         self.ordered = all(self.made.get(x, (-1,))[0] < rank for rank, a, b in self.made.values() for x in (a, b))
         self.left: dict[int, list[tuple[int, float]]] = {}
@@ -73,10 +105,7 @@ class TrieBpe:
         self.words = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.apart: dict[int, bool] = {}
-        self.cache: dict = {}
-        self.older: dict = {}  # the cache before; what is still in use moves over
-        self.word_cache: dict[bytes, tuple[int, ...]] = {}
-        self.older_words: dict[bytes, tuple[int, ...]] = {}
+        self.cache, self.word_cache = Cache(CHUNK_CACHE), Cache(WORD_CACHE)  # ids as packed 32-bit numbers
         self.whole: dict[int, bool] = {}
 
     # -- the merge rule, used to judge pairs ------------------------------------------------------------
@@ -107,11 +136,11 @@ class TrieBpe:
         if (left := self.left.get(b)) is None:
             left = self.left[b] = self.edge(b, 1)
         i = j = 0
-        rank = self.rank.get
+        merged = self.merges.get
         while True:
             (x, x_ends), (y, y_ends) = right[i], left[j]
-            r = rank((x, y))
-            if r is not None and r < x_ends and r <= y_ends:
+            r = merged((x, y))
+            if r is not None and r[0] < x_ends and r[0] <= y_ends:
                 return False
             if x_ends <= y_ends:
                 if x_ends == float("inf"):
@@ -124,7 +153,7 @@ class TrieBpe:
         key = a << 32 | b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             known = self.is_whole(b) and self.never_joined(a, b) if self.ordered else self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             self.apart[key] = known
@@ -138,10 +167,10 @@ class TrieBpe:
         return known
 
     # -- the trie ---------------------------------------------------------------------------------------
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words. The sorted words are the trie's leaves in depth-first order; `last`
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Encodings of distinct words, packed. The sorted words are the trie's leaves in depth-first order; `last`
         and `start` hold the states of the current path, of which the shared prefix is kept."""
-        out: dict[bytes, tuple[int, ...]] = {}
+        out: dict[bytes, bytes] = {}
         get, apart, whole, longest = self.ids.get, self.stays_apart, self.is_whole, self.longest
         known = self.apart
         before = b""
@@ -175,20 +204,20 @@ class TrieBpe:
             while i:
                 ids.append(last[i])
                 i = start[i]
-            out[word] = tuple(ids[::-1])
+            out[word] = array("i", ids[::-1]).tobytes()
             before = word
         return out
 
     # -- texts ------------------------------------------------------------------------------------------
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         words = [w.encode() for w in self.words(text)]
         known = self.encode_words(set(words))
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+        return b"".join(map(known.__getitem__, words))
 
-    def _slow(self, text: str) -> list[int]:
+    def _slow(self, text: str) -> bytes:
         """Any text: special tokens first, then the word pattern over what lies between them."""
         parts = self.specials.split(text) if self.specials else [text]
-        return list(chain.from_iterable([self.special[p]] if p in self.special else self._plain(p) for p in parts if p))
+        return b"".join(array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in parts if p)
 
     def _learn(self, chunks: set[str], spaced: bool) -> None:
         """Cache the ids of space-separated chunks; None marks one whose words depend on what precedes it."""
@@ -196,66 +225,58 @@ class TrieBpe:
         lead = " " if spaced else ""
         for c in chunks:
             if spaced and (not c or c[0].isspace()):
-                self.cache[c] = None
+                self.cache.put(c, None)
             elif c.isalpha():
                 parts[c] = [(lead + c).encode()]
             else:
                 parts[c] = [w.encode() for w in self.words(lead + c)]
-        if len(self.word_cache) > CACHE_WORDS // 2:
-            self.older_words, self.word_cache = self.word_cache, {}
-        known, older = self.word_cache, self.older_words
-        new = {w for words in parts.values() for w in words if w not in known}
-        if older:
-            known.update((w, older[w]) for w in new if w in older)
-            new = {w for w in new if w not in older}
-        known.update(self.encode_words(new))
+        known = self.word_cache
+        for w, ids in self.encode_words(known.missing({w for words in parts.values() for w in words})).items():
+            known.put(w, ids)
         for c, words in parts.items():
-            self.cache[c if spaced else (c,)] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
+            self.cache.put(c if spaced else (c,), b"".join(map(known.__getitem__, words)))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """A word never spans the gap before a space that a non-space follows, so texts are split at spaces
         and whole chunks are looked up; texts with runs of white space or special tokens take the word pattern."""
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
+        self.cache.turn()
+        self.word_cache.turn()
         split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
         rest: set[str] = set()
-        first: set[str] = set()
+        first: set[tuple[str]] = set()
         for parts in split:
             if parts:
-                first.add(parts[0])
+                first.add((parts[0],))
                 rest.update(parts[1:])
-        cache, older = self.cache, self.older
-        rest = {c for c in rest if c not in cache}
-        first = {(c,) for c in first if (c,) not in cache}
-        if older:
-            cache.update((c, older[c]) for c in chain(rest, first) if c in older)
-            rest = {c for c in rest if c not in older}
-            first = {c for c in first if c not in older}
-        self._learn({c for (c,) in first}, False)
-        self._learn(rest, True)
-        out, get = [], cache.__getitem__
+        self._learn({c for (c,) in self.cache.missing(first)}, False)
+        self._learn(self.cache.missing(rest), True)
+        out, get = [], self.cache.__getitem__
         for text, parts in zip(texts, split, strict=True):
             try:
                 if parts is None:
                     raise TypeError
-                ids = list(self.cache[(parts[0],)])
-                ids.extend(chain.from_iterable(map(get, parts[1:])))
-            except TypeError:
+                ids = self.cache[(parts[0],)] + b"".join(map(get, parts[1:]))
+            except TypeError:  # a chunk that is None
                 ids = self._slow(text)
-            out.append(ids)
+            out.append(np.frombuffer(ids, np.int32))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def digest(self, ids: list[int]) -> str:
+    def digest(self, ids: Iterable[int]) -> str:
         return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> TrieBpe:
     """One encoder per vocabulary and Python worker."""
-    return TrieBpe(path)
+    return common.held(("bpe", path), lambda: TrieBpe(path))
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """Arrow lists of packed ids, without a Python object per token."""
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,8 +284,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
-        for ids, texts in common.texts_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(coder.encode_batch(texts), pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+        for ids, texts in common.texts_of(batches, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(coder.encode_batch(texts))], ["doc_id", "token_ids"])
 
     return common.id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, token_ids array<int>")
 
@@ -291,13 +312,13 @@ def add_tokens(df: DataFrame, vocabulary: str, text_col: str = "text", token_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in batches:
-            for part in common.slices(batch, at):
+            for part in common.slices(batch, at, SLICE_BYTES):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 ids = coder.encode_batch(texts)
                 for text, tokens in zip(texts, ids, strict=True):
-                    if coder.decode(tokens) != text:
+                    if coder.decode(tokens.tolist()) != text:
                         raise ValueError("a text does not come back from its tokens")
-                extra = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
+                extra = [_lists(ids), pa.array(list(map(len, ids)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, token_col, count_col])
 
     return df.mapInArrow(run, schema)
@@ -308,9 +329,10 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
-        for ids, texts in common.texts_of(batches):
+        for ids, texts in common.texts_of(batches, SLICE_BYTES):
             rows = []
-            for doc, text, tokens in zip(ids, texts, coder.encode_batch(texts), strict=True):
+            for doc, text, packed in zip(ids, texts, coder.encode_batch(texts), strict=True):
+                tokens = packed.tolist()
                 back = coder.decode(tokens)
                 rows.append((doc, len(tokens), coder.digest(tokens), hashlib.sha256(back.encode()).hexdigest(), len(back), back == text))
             cols = list(zip(*rows, strict=True))
