@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import detectors as D
+from veilspark.functions import globs
 from veilspark.functions import patterns as P
 from veilspark.functions import spans as S
 from veilspark.functions.literals import find_literals
@@ -104,10 +105,31 @@ def test_sensitive_keys(spark):
 
 
 def test_globs():
-    for g, text, ok in [("a.*", "a.b", 1), ("a.*", "a.b.c", 0), ("a.**", "a", 1), ("a.**", "a.b.c", 1), ("**.k", "k", 1), ("**.k", "x.y.k", 1), ("**", "", 1), ("a?c", "abc", 1), ("a?c", "a.c", 0)]:
-        assert bool(re.search(P.glob(g).replace(r"\z", r"\Z"), text)) == bool(ok), (g, text)
-    for g, path, ok in [("*.env", "x/y/.env", 1), ("/a/", "a/b/c", 1), ("a/*.py", "b/a/x.py", 0), ("logs/", "x/logs/y", 1)]:
-        assert bool(re.search(P.file_glob(g).replace(r"\z", r"\Z"), path)) == bool(ok), (g, path)
+    hit = lambda expression, text: bool(globs.python(expression).search(text))
+    dotted = [("a.*", "a.b", 1), ("a.*", "a.b.c", 0), ("a.**", "a", 1), ("a.**", "a.b.c", 1), ("**.k", "k", 1), ("**.k", "x.y.k", 1), ("**", "", 1), ("a?c", "abc", 1), ("a?c", "a.c", 0),
+              ("a.**.z", "a.z", 1), ("a.**.z", "a.b.c.z", 1), ("a.**.z", "az", 0), ("**.**", "", 1), ("x**.y", "xa.y", 1), ("x**.y", "xy", 1), ("a.b**", "a.bc.d", 1), ("a+b", "a+b", 1), ("a+b", "aab", 0), ("***.x", "q.x", 1), ("a\nb", "a\nb", 1)]
+    for g, text, ok in dotted:
+        assert hit(globs.glob(g), text) == bool(ok), (g, text)
+    for g, text, ok in [("github-*", "github-pat", 1), ("*", "a.b/c", 1), ("a?", "a.", 1), ("a*", "ba", 0)]:
+        assert hit(globs.glob(g, None), text) == bool(ok), (g, text)
+    for g, path, ok in [("*.env", "x/y/.env", 1), ("/a/", "a/b/c", 1), ("a/*.py", "b/a/x.py", 0), ("logs/", "x/logs/y", 1), ("a/**/b", "a/b", 1), ("a/**/b", "a/x/y/b", 1)]:
+        assert hit(globs.file_glob(g), path) == bool(ok), (g, path)
+    assert globs.normalize("/a/./b/../c//d") == "/a/c/d" and globs.normalize("../a/..") == ".."
+
+
+def test_file_globs(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "x.pem").write_text("")
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    some = globs.FileGlobs.of(["*.env", "/real/", "!b.env"], str(tmp_path))
+    assert some.matches("a.env") and some.matches("sub/a.env") and not some.matches("b.env") and some.matches("link/x.pem")
+    assert some.matches(str(tmp_path / "x" / "a.env")) and not some.matches("/elsewhere/a.env") and not some.matches("../a.env")
+    df = spark.createDataFrame([("a.env",), ("sub/b.env",), ("real/x",), (None,)], "p string")
+    assert [r.m for r in df.select(some.column(F.col("p")).alias("m")).collect()] == [True, False, True, False]
+    keys = globs.FileKeyPaths.of(["conf/*.json#a.b", "*.yml#**"], str(tmp_path))
+    assert keys.for_file("conf/x.json") == ["a.b"] and keys.for_file("z/q.yml") == ["**"] and keys.for_file("other") == []
+    with pytest.raises(ValueError, match="FILE#KEY"):
+        globs.FileKeyPaths.of(["nothing"])
 
 
 def test_patterns_to_java(spark):

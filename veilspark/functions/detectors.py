@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .globs import glob
 from .spans import entropy as entropy_bits
 from .spans import find, none
 from .tokens import Template
@@ -18,6 +20,11 @@ def normalize_key(key: Column) -> Column:
     return F.translate(F.lower(key), "- .", "___")
 
 
+def plain_key(key: str) -> str:
+    """normalize_key of one key."""
+    return key.lower().translate(str.maketrans("- .", "___"))
+
+
 def split_camel(key: Column) -> Column:
     return F.regexp_replace(key, r"(?<=\p{javaLowerCase})(?=\p{javaUpperCase})|(?s)(?<=.)(?=\p{javaUpperCase}\p{javaLowerCase})", "_")
 
@@ -52,12 +59,13 @@ def unquote(value: Column) -> Column:
     return F.when(value.rlike(r"""(?s)\A(?:"[^"]*"|'[^']*')\z""") & (F.length(value) >= 2), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def entropy(text: Column, key: Column | None = None, threshold: float = 4.5, sensitive_threshold: float = 3.5, min_length: int = 10, hex_lengths: Iterable[int] = P.HEX_LENGTHS) -> Column:
+def entropy(text: Column, key: Column | None = None, threshold: float = 4.5, sensitive_threshold: float = 3.5, min_length: int = 10, hex_lengths: Iterable[int] = P.HEX_LENGTHS, segments: Iterable[str] = P.SENSITIVE_SEGMENTS, structural: Iterable[str] = P.STRUCTURAL_KEYS) -> Column:
     """Tokens above the threshold; under a sensitive key the lower one holds, and hex digests count whatever theirs is."""
     pattern = f"{P.ENTROPY_TOKEN}{{{min_length},}}"
     if key is None:
-        return find(text, pattern, "entropy", lambda m: entropy_bits(m) > threshold)
-    sensitive = is_sensitive_key(key)
+        least = math.ceil(2 ** (threshold - 1e-9))  # n characters hold log2(n) bits at most
+        return find(text, pattern, "entropy", lambda m: (F.length(m) >= least) & (entropy_bits(m) > threshold))
+    sensitive = is_sensitive_key(key, segments, structural)
     digest = lambda m: m.rlike(r"\A[0-9A-Fa-f]+\z") & F.length(m).isin(*hex_lengths)
     return find(text, pattern, "entropy", lambda m: (entropy_bits(m) > F.when(sensitive, sensitive_threshold).otherwise(threshold)) | (sensitive & digest(m)))
 
@@ -74,7 +82,7 @@ def provider_token(text: Column) -> Column:
 
 def path(text: Column, key_path: Column, globs: Iterable[str]) -> Column:
     """The whole value where its key path matches a glob."""
-    rules = "|".join(f"(?:{P.glob(g)})" for g in globs)
+    rules = "|".join(f"(?:{glob(g)})" for g in globs)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"), F.lit("path").alias("label")))
     return F.when(F.lit(bool(rules)) & key_path.rlike(rules or "$.") & (text != ""), whole).otherwise(none())
 
@@ -99,60 +107,70 @@ def address(text: Column) -> Column:
     return find(text, P.ADDRESS, "pii:address")
 
 
-def credentialed_uri(text: Column) -> Column:
+def credentialed_uri(text: Column, real_value: Callable[[Column], Column] = has_real_value) -> Column:
     """URLs with a password that isn't a placeholder."""
-    real = lambda m: has_real_value(F.regexp_extract(m, P.CREDENTIALED_URI, 1))
+    real = lambda m: real_value(F.regexp_extract(m, P.CREDENTIALED_URI, 1))
     return F.when(F.contains(text, F.lit("://")), find(text, P.CREDENTIALED_URI, "credentialed_uri", real)).otherwise(none())
 
 
-def _assigns_password(candidate: Column) -> Column:
-    return F.exists(F.regexp_extract_all(candidate, F.lit(P.PASSWORD_ASSIGNMENT), F.lit(1)), lambda v: has_real_value(unquote(v)))
+def _assigns_password(candidate: Column, real: Callable) -> Column:
+    return F.exists(F.regexp_extract_all(candidate, F.lit(P.PASSWORD_ASSIGNMENT), F.lit(1)), lambda v: real(unquote(v)))
 
 
-def _url_password(candidate: Column) -> Column:
+def _url_password(candidate: Column, real: Callable) -> Column:
     pairs = F.split(F.regexp_extract(candidate, r"\A[^?#]*\?([^#]*)", 1), "&")
     pairs = F.filter(pairs, lambda p: F.lower(F.substring_index(p, "=", 1)).isin("password", "pwd") & F.contains(p, F.lit("=")))
     value = lambda p: F.coalesce(F.try_url_decode(F.regexp_replace(p, r"\A[^=]*=", "")), F.regexp_replace(p, r"\A[^=]*=", ""))
-    return candidate.rlike(r"\A[^/]*//(?:[^/?#]*@)?[^/?#:@]") & F.exists(pairs, lambda p: has_real_value(value(p)))
+    return candidate.rlike(r"\A[^/]*//(?:[^/?#]*@)?[^/?#:@]") & F.exists(pairs, lambda p: real(value(p)))
 
 
-def connection_string(text: Column) -> Column:
+def connection_string(text: Column, real: Callable[[Column], Column] = has_real_value) -> Column:
     """JDBC and database URLs, keyword and semicolon strings with a password; closing punctuation is left out."""
     strip = lambda m: F.regexp_replace(m, r"[.,;:!?)\]]+\z", "")
     part = lambda m: (F.lit(0), F.octet_length(strip(m)))
     kinds: list[tuple[str, Callable]] = [
         (P.JDBC, _assigns_password),
         (P.DATABASE_URL, _url_password),
-        (P.KEYWORD_DSN, lambda c: c.rlike(P.KEYWORD_HOST) & c.rlike(P.KEYWORD_USER) & _assigns_password(c)),
-        (P.SEMICOLON, lambda c: c.rlike(P.SEMICOLON_SERVER) & c.rlike(P.SEMICOLON_USER) & _assigns_password(c)),
+        (P.KEYWORD_DSN, lambda c, real: c.rlike(P.KEYWORD_HOST) & c.rlike(P.KEYWORD_USER) & _assigns_password(c, real)),
+        (P.SEMICOLON, lambda c, real: c.rlike(P.SEMICOLON_SERVER) & c.rlike(P.SEMICOLON_USER) & _assigns_password(c, real)),
     ]
-    found = [find(text, p, "connection_string", lambda m, ok=ok: ok(strip(m)), part) for p, ok in kinds]
+    found = [find(text, p, "connection_string", lambda m, ok=ok: ok(strip(m), real), part) for p, ok in kinds]
     return F.when(text.rlike("(?i)(?:password|pwd)="), F.concat(*found)).otherwise(none())
 
 
-def credential_assignment(text: Column) -> Column:
+def credential_assignment(text: Column, real: Callable[[Column], Column] = has_real_value) -> Column:
     """The value of `KEY=value` in free text where KEY names a database password."""
     value = lambda m: F.regexp_replace(m, r"\A[^=]*=", "")
     quoted = lambda m: value(m).rlike(r"""\A["']""").cast("int")
     part = lambda m: (F.octet_length(m) - F.octet_length(value(m)) + quoted(m), F.octet_length(m) - quoted(m))
-    return F.when(F.contains(text, F.lit("=")), find(text, P.CREDENTIAL_ASSIGNMENT, "credential_assignment", lambda m: has_real_value(unquote(value(m))), part)).otherwise(none())
+    return F.when(F.contains(text, F.lit("=")), find(text, P.CREDENTIAL_ASSIGNMENT, "credential_assignment", lambda m: real(unquote(value(m))), part)).otherwise(none())
 
 
-def credential_key(text: Column, key: Column, context: Column | None = None) -> Column:
+def credential_key(text: Column, key: Column, context: Column | None = None, real: Callable[[Column], Column] = has_real_value) -> Column:
     """The whole value of a field whose key names a database password, or `password` where host and user stand beside it."""
     name = normalize_key(key)
     ok = name.rlike(rf"\A{P.DATABASE_KEY}\z") | (F.coalesce(context, F.lit(False)) & (name == "password")) if context is not None else name.rlike(rf"\A{P.DATABASE_KEY}\z")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"), F.lit("credential_key").alias("label")))
-    return F.when(F.coalesce(ok & has_real_value(text), F.lit(False)), whole).otherwise(none())
+    return F.when(F.coalesce(ok & real(text), F.lit(False)), whole).otherwise(none())
+
+
+#: Lists of more literals than this are always matched by the automaton; shorter ones are tested for overlaps first.
+FEW_LITERALS = 40
+
+
+def _may_overlap(words: list[str]) -> bool:
+    ends = {w[i:] for w in words for i in range(1, len(w))}
+    heads = {w[:i] for w in words for i in range(1, len(w) + 1)}
+    return bool(ends & heads) or any(a != b and a in b for a in words for b in words)
 
 
 def values(text: Column, words: Iterable[str], label: str = "value") -> Column:
-    """Listed literals. Where one holds another the match that ends first must win, which a native alternation can't
+    """Listed literals. Where one overlaps another the match that ends first must win, which a native alternation can't
     promise; those lists take the automaton in `functions.literals`."""
     words = sorted({w for w in words if w})
     if not words:
         return none()
-    if any(a != b and a in b for a in words for b in words) or any(a[i:] and b.startswith(a[i:]) for a in words for b in words for i in range(1, len(a))):
+    if len(words) > FEW_LITERALS or _may_overlap(words):
         from .literals import spans_udf
 
         return spans_udf(words, label)(text)
@@ -160,17 +178,6 @@ def values(text: Column, words: Iterable[str], label: str = "value") -> Column:
 
 
 DEFAULT = ("entropy", "provider_token", "credentialed_uri", "connection_string", "credential_assignment")
-BY_NAME: dict[str, Callable[[Column], Column]] = {
-    "entropy": entropy, "provider_token": provider_token, "credentialed_uri": credentialed_uri, "connection_string": connection_string,
-    "credential_assignment": credential_assignment, "pii:email": email, "pii:phone": phone, "pii:address": address,
-}
-
-
-def detect(text: Column, names: Iterable[str] = DEFAULT) -> Column:
-    """The spans of several detectors, not merged yet."""
-    return F.concat(*[BY_NAME[n](text) for n in names])
-
-
 def relabel(spans: Column, name: str, label: str) -> Column:
     """Own labels get the new prefix; a `:suffix` stays."""
     own = lambda s: (s["label"] == name) | F.startswith(s["label"], F.lit(name + ":"))

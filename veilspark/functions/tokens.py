@@ -64,5 +64,8 @@ class Template:
 
     def find_tokens(self, text: str) -> list[tuple[int, int]]:
         """Byte spans of the tokens in a text."""
-        at = lambda i: len(text[:i].encode())
-        return [(at(m.start()), at(m.end())) for m in re.finditer(self.pattern, text)]
+        from .literals import byte_offsets
+
+        marks = [x for m in re.finditer(self.pattern, text) for x in m.span()]
+        places = list(byte_offsets(text, marks))
+        return list(zip(places[::2], places[1::2], strict=True))

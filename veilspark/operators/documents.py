@@ -1,90 +1,272 @@
-"""Redaction of structured documents: parse, detect natively on leaves, number, propagate, rewrite."""
+"""Redaction of structured documents: parse, detect natively on leaves, number, propagate, rewrite.
+
+One pass over the documents, without a shuffle: a document's leaves stay an array beside it, native detectors run over
+that array, and numbering, propagation and rewriting take the document, its leaves and their spans together. So a
+document is parsed once, and what one task holds is bounded by one document.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detectors as D
 from ..functions import spans as S
-from ..functions.patterns import HOST_KEYS, USER_KEYS
+from ..functions.globs import FileGlobs, FileKeyPaths, any_of, glob, python
+from ..functions.literals import byte_offsets
+from ..functions.patterns import to_python
 from ..functions.tokens import Template
 from ..sources import formats
-from .redaction import merged_spans
+from .detection import Detector, Leaf, resolve
+
+LEAF = "struct<leaf_idx:int,key:string,path:string,value:string,credential_context:boolean,offset:long,end:long,style:string,comment:boolean>"
+_LEAF = pa.struct([("leaf_idx", pa.int32()), ("key", pa.string()), ("path", pa.string()), ("value", pa.string()), ("credential_context", pa.bool_()), ("offset", pa.int64()), ("end", pa.int64()), ("style", pa.string()), ("comment", pa.bool_())])
+FINDING = "struct<id:int,secret:string,detector:string,field:string,path:string,token:string,len:int,offsets:array<long>,line:int,column:int,occurrences:int,allowed:boolean>"
+_FINDING = pa.struct([("id", pa.int32()), ("secret", pa.string()), ("detector", pa.string()), ("field", pa.string()), ("path", pa.string()), ("token", pa.string()), ("len", pa.int32()), ("offsets", pa.list_(pa.int64())), ("line", pa.int32()), ("column", pa.int32()), ("occurrences", pa.int32()), ("allowed", pa.bool_())])
+
+
+class Allow:
+    """Secrets that stay in the text: listed ones, those that match a pattern as a whole, or all."""
+
+    def __init__(self, values: Iterable[str] = (), regexes: Iterable[str] = (), everything: bool = False):
+        from .detection import _checked
+
+        self.values, self.regexes, self.everything = frozenset(values), tuple(_checked(regexes)), everything
+
+    @classmethod
+    def none(cls) -> Allow:
+        return cls()
+
+    @classmethod
+    def all(cls) -> Allow:
+        return cls(everything=True)
+
+    def with_values(self, values: Iterable[str]) -> Allow:
+        return Allow({*self.values, *values}, self.regexes, self.everything)
+
+    def with_regexes(self, regexes: Iterable[str]) -> Allow:
+        return Allow(self.values, (*self.regexes, *regexes), self.everything)
+
+    def tester(self) -> Callable[[str], bool]:
+        import regex
+
+        whole = regex.compile("|".join(f"(?s:{to_python(p)})" for p in self.regexes), regex.V1) if self.regexes else None
+        return lambda secret: self.everything or secret in self.values or bool(whole and whole.fullmatch(secret))
+
+
+@dataclass(frozen=True)
+class Options:
+    """How documents are read and which leaves are looked at."""
+
+    template: Template = field(default_factory=Template.parse)
+    comments: bool = False
+    policy: formats.Policy = field(default_factory=formats.Policy)
+    format: str | None = None
+    allow_paths: tuple[str, ...] = ()
+    file_paths: FileKeyPaths = field(default_factory=FileKeyPaths)
+    files: FileGlobs = field(default_factory=FileGlobs)
+    within: tuple[str, ...] = ()
+    allow: Allow = field(default_factory=Allow)
+
+
+def _column_value(leaf: formats.Leaf) -> str:
+    """A leaf's value for a column; a byte that isn't UTF-8 becomes one `?`, so byte offsets stay."""
+    return leaf.value if leaf.value.isascii() else re.sub("[\ud800-\udfff]", "?", leaf.value)
+
+
+def parsed(docs: DataFrame, options: Options | None = None) -> DataFrame:
+    """(doc_id, path, content, format, warning, leaves) of (doc_id, path, content) documents.
 
-LEAVES = "doc_id string, format string, leaf_idx int, key string, path string, value string, credential_context boolean, offset long"
+    Leaves are those that the policy lets through and no allowed key path spares; their index counts all of them.
+    """
+    options = options or Options()
+    spared = any_of(map(glob, options.allow_paths))
+
+    def leaves_of(data: bytes, path: str | None) -> tuple[str, list[dict], str | None]:
+        name, found, warning = formats.parse(data, path, options.format, options.comments)
+        here = [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]]
+        rows = []
+        for i, x in enumerate(found):
+            if not options.policy.lets_through(x) or any(_path_spared(x.path, p) for p in here):
+                continue
+            rows.append({"leaf_idx": i, "key": x.key, "path": x.path, "value": _column_value(x), "credential_context": any(map(options.policy.credential_context, x.around)), "offset": x.start, "end": x.end, "style": x.style, "comment": x.comment})
+        return name, rows, warning
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                name, rows, warning = leaves_of(one.column(2)[0].as_py() or b"", one.column(1)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([name]), pa.array([warning], pa.string()), pa.array([rows], pa.list_(_LEAF))], ["doc_id", "path", "content", "format", "warning", "leaves"])
+
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    return base.mapInArrow(run, f"doc_id string, path string, content binary, format string, warning string, leaves array<{LEAF}>")
+
+
+def _path_spared(path: str, pattern: re.Pattern) -> bool:
+    """Whether the path, or that of something it lies in, is spared."""
+    parts = path.split(".")
+    return any(pattern.search(".".join(parts[:n])) for n in range(1, len(parts) + 1))
+
+
+def leaves(docs: DataFrame, comments: bool = False, scan_all: bool = False, policy: formats.Policy | None = None, allow_paths: Iterable[str] = ()) -> DataFrame:
+    """Leaves of (doc_id, path, content) documents as rows; the index counts all of them."""
+    policy = formats.ScanAll() if scan_all else policy or formats.Policy()
+    rows = parsed(docs, Options(comments=comments, policy=policy, allow_paths=tuple(allow_paths)))
+    rows = rows.select("doc_id", "format", F.explode("leaves").alias("x"))
+    return rows.select("doc_id", "format", "x.leaf_idx", "x.key", "x.path", "x.value", "x.credential_context", "x.offset")
+
+
+def _native_spans(detectors: list[Detector]):
+    """Raw spans of each leaf by the native detectors."""
+    of = lambda x: Leaf(x["value"], x["key"], x["path"], x["credential_context"])
+    each = lambda x: F.concat(*[d.native(of(x)) for d in detectors]) if detectors else S.none()
+    return F.transform("leaves", each)
 
 
-def _has_login(keys: list[str]) -> bool:
-    """Whether an object's keys name a host and a user; a bare `password` in it or below is then a credential."""
-    names = {re.sub("[- .]", "_", k.lower()) for k in keys if k}
-    return bool(names & set(HOST_KEYS)) and bool(names & set(USER_KEYS))
+def merged(found: Iterable[tuple[int, int, str]], zones: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Spans outside the zones, sorted and joined where they overlap or touch; the first label stays."""
+    out: list[tuple[int, int, str]] = []
+    zones, reach, z = sorted(zones), -1, 0
+    for a, b, label in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
+        while z < len(zones) and zones[z][0] <= a:
+            reach, z = max(reach, zones[z][1]), z + 1
+        if b <= a or b <= reach:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2])
+        else:
+            out.append((a, b, label))
+    return out
 
 
-def leaves(docs: DataFrame, comments: bool = False, scan_all: bool = False) -> DataFrame:
-    """Leaves of (doc_id, path, content) documents that the policy lets through; the index counts all of them."""
+class _Document:
+    """Numbering, propagation and rewriting of one document."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, path, content in zip(frame.doc_id, frame.path, frame.content, strict=True):
-                data = bytes(content or b"")
-                name, found, _ = formats.parse(data, path, comments=comments)
-                rows = []
-                for i, x in enumerate(found):
-                    if not scan_all and any(formats.skipped(k) for k in x.path.split(".") if k):
-                        continue
-                    value = x.value.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-                    rows.append((doc, name, i, x.key, x.path, value, any(map(_has_login, x.around)), x.start))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAVES.split(", ")])
+    def __init__(self, options: Options, detectors: list[Detector]):
+        import regex
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path"), F.col("content")).mapInPandas(run, LEAVES)
+        self.options, self.python, self.whole = options, [d for d in detectors if d.python], [d for d in detectors if d.document]
+        self.within = [regex.compile(to_python(p), regex.V1) for p in options.within]
+        self.tester = options.allow.tester()
 
+    def finish(self, path: str | None, data: bytes, name: str, rows: list[dict], native: list[list[dict]]) -> tuple[bytes, list[dict]]:
+        """(rendered document, findings in order)."""
+        template = self.options.template
+        found = [[(s["start"], s["end"], s["label"]) for s in some] for some in native]
+        infos = [Leaf(r["value"], r["key"], r["path"], r["credential_context"]) for r in rows] if self.python or self.whole else []
+        for i, info in enumerate(infos):
+            for d in self.python:
+                found[i] += d.python(info) if info.value else []
+        for d in self.whole:
+            for mine, more in zip(found, d.document(infos), strict=True):
+                mine += more
+        spans: list[tuple[dict, list[tuple[int, int, str]], bytes]] = []
+        number: dict[bytes, int] = {}
+        first: list[dict] = []
+        text = data.decode("utf-8", "surrogateescape") if any(found) else ""
+        for r, some in zip(rows, found, strict=True):
+            value = text if r["style"] == "raw" and name == "text" else r["value"]
+            raw = value.encode("utf-8", "surrogateescape") if some or number else b""
+            kept = self._kept(r["value"], some)
+            spans.append((r, kept, value))
+            for a, b, label in kept:
+                secret = raw[a:b]
+                if secret not in number:
+                    number[secret] = len(number) + 1
+                    shown = secret.decode("utf-8", "replace")
+                    token = template.token(number[secret], label)
+                    first.append({"id": number[secret], "secret": shown, "detector": label, "field": r["key"], "path": r["path"], "token": token, "len": len(secret), "offsets": [], "occurrences": 0, "allowed": self._allowed(path, shown)})
+        if not first:
+            return data, []
+        edits: dict[int, list[tuple[int, int, str]]] = {}
+        by_index: dict[int, formats.Leaf] = {}
+        places: list[tuple[int, int, int]] = []  # (character where the value stands in the document, bytes from there, id)
+        for r, kept, value in spans:
+            raw = value.encode("utf-8", "surrogateescape")
+            whole = number.get(raw)
+            if whole:  # a value that is a known secret goes as a whole
+                kept = [(0, len(raw), first[whole - 1]["detector"])]
+            if not kept:
+                continue
+            inner = text[r["offset"] : r["end"]].find(value) if name != "bplist" else -1
+            mine = []
+            for a, b, _ in kept:
+                f = first[number[raw[a:b]] - 1]
+                f["occurrences"] += 1
+                if inner >= 0:
+                    places.append((r["offset"] + inner, a, f["id"]))
+                if not f["allowed"]:
+                    mine.append((a, b, f["token"]))
+            if mine:
+                edits[r["leaf_idx"]] = mine
+                by_index[r["leaf_idx"]] = formats.Leaf(value, r["key"], r["path"], r["offset"], r["end"], r["style"])
+        places.sort()
+        for (_, a, i), at in zip(places, _bytes_at(text, [p for p, _, _ in places]), strict=True):
+            first[i - 1]["offsets"].append(at + a)
+        for f in first:
+            f["offsets"].sort()
+            at = f["offsets"][0] if f["offsets"] else None
+            f["line"] = None if at is None else data.count(b"\n", 0, at) + 1
+            f["column"] = None if at is None else at - (data.rfind(b"\n", 0, at) + 1) + 1
+        return formats.rewrite(data, name, by_index, edits) if edits else data, first
 
-def leaf_spans(rows: DataFrame, names: Iterable[str] = D.DEFAULT, template: Template | None = None) -> DataFrame:
-    """Adds merged `spans`; entropy and password fields look at the key of a leaf."""
-    value = F.col("value")
-    found = [D.entropy(value, F.col("key")) if n == "entropy" else D.BY_NAME[n](value) for n in names]
-    found.append(D.credential_key(value, F.col("key"), F.col("credential_context")))
-    rows = rows.withColumn("__found", F.concat(*found))
-    return rows.withColumn("spans", F.when(F.size("__found") == 0, S.none()).otherwise(merged_spans(value, F.col("__found"), template))).drop("__found")
+    def _kept(self, value: str, some: list) -> list[tuple[int, int, str]]:
+        """Merged spans without those inside tokens, then without those inside an allowed pattern."""
+        if not some:
+            return []
+        out = merged(some, self.options.template.find_tokens(value))
+        for pattern in self.within if out else ():
+            marks = [x for m in pattern.finditer(value) for x in m.span()]
+            places = list(_bytes_at(value, marks))
+            zones = list(zip(places[::2], places[1::2], strict=True))
+            out = [s for s in out if not any(a <= s[0] and s[1] <= b for a, b in zones)] if zones else out
+        return out
 
+    def _allowed(self, path: str | None, secret: str) -> bool:
+        return self.tester(secret) or bool(path and not self.options.files.is_empty and self.options.files.matches(path))
 
-def redact_documents(docs: DataFrame, names: Iterable[str] = D.DEFAULT, template: Template | None = None, comments: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rendered, findings). rendered: (doc_id, format, content); documents without findings keep their bytes.
 
-    Leaves and edits are shuffled by document; the documents themselves only for the join with their edits.
+def _bytes_at(text: str, places: list[int]) -> list[int]:
+    """Byte offsets of rising character offsets."""
+    return places if text.isascii() else list(byte_offsets(_one_byte(text), places))
+
+
+def _one_byte(text: str) -> str:
+    """The text with each stand-in for an undecodable byte as one byte."""
+    return re.sub("[\ud800-\udfff]", "?", text)
+
+
+def redact_all(docs: DataFrame, names: Iterable[str | Detector] = (*D.DEFAULT, "credential_key"), options: Options | None = None) -> DataFrame:
+    """(doc_id, path, format, content, warning, findings) of (doc_id, path, content) documents.
+
+    Documents without findings keep their bytes. findings is an array, numbered by first appearance.
     """
-    template = template or Template.parse()
-    rows = leaf_spans(leaves(docs, comments), names, template)
-    occ = rows.select("doc_id", "leaf_idx", "key", "path", "value", F.explode("spans").alias("s"))
-    occ = occ.select("doc_id", "leaf_idx", "key", "path", "s.start", "s.end", "s.label", S.slice_text(F.col("value"), F.col("s.start"), F.col("s.end")).alias("secret"))
-    first = F.min(F.struct("leaf_idx", "start", "label", "key", "path")).alias("f")
-    groups = occ.groupBy("doc_id", "secret").agg(first, F.count("*").alias("occurrences"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.leaf_idx", "f.start"))
-    found = groups.select("doc_id", rank.alias("id"), "secret", F.col("f.label").alias("detector"), F.col("f.key").alias("field"), F.col("f.path").alias("path"), "occurrences")
-    found = found.withColumn("token", template.column(F.col("id"), F.col("detector")))
-    known = found.select("doc_id", "secret", "token")
-    whole = rows.select("doc_id", "leaf_idx", F.col("value").alias("secret")).join(known, ["doc_id", "secret"])
-    whole = whole.select("doc_id", "leaf_idx", F.lit(0).alias("start"), F.octet_length("secret").alias("end"), "token")
-    part = occ.select("doc_id", "leaf_idx", "start", "end", "secret").join(known, ["doc_id", "secret"]).drop("secret")
-    part = part.join(whole.select("doc_id", "leaf_idx"), ["doc_id", "leaf_idx"], "left_anti")
-    edits = part.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("leaf_idx", "start", "end", "token")).alias("edits"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, path, content, some in zip(frame.doc_id, frame.path, frame.content, frame.edits, strict=True):
-                data = bytes(content or b"")
-                name, found, warning = formats.parse(data, path, comments=comments)
-                by_leaf: dict[int, list] = {}
-                for e in some if some is not None else ():
-                    by_leaf.setdefault(e["leaf_idx"], []).append((e["start"], e["end"], e["token"]))
-                yield pd.DataFrame([(doc, name, formats.rewrite(data, name, found, by_leaf), warning)], columns=["doc_id", "format", "content", "warning"])
-
-    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "content")
-    rendered = base.join(edits, "doc_id", "left").mapInPandas(run, "doc_id string, format string, content binary, warning string")
-    return rendered, found
+    options = options or Options()
+    detectors = resolve(names)
+    rows = parsed(docs, options).withColumn("spans", _native_spans([d for d in detectors if d.native]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document = _Document(options, detectors)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, path, data, name, warning, some, native = (c[i].as_py() for c in batch.columns)
+                content, found = document.finish(path, data or b"", name, some, native)
+                columns = [pa.array([doc], pa.string()), pa.array([path], pa.string()), pa.array([name]), pa.array([content], pa.binary()), pa.array([warning], pa.string()), pa.array([found], pa.list_(_FINDING))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "format", "content", "warning", "findings"])
+
+    return rows.mapInArrow(run, f"doc_id string, path string, format string, content binary, warning string, findings array<{FINDING}>")
+
+
+def redact_documents(docs: DataFrame, names: Iterable[str | Detector] = D.DEFAULT, template: Template | None = None, comments: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(rendered, findings) of redact_all, the credential_key detector included; findings as rows."""
+    names = list(names)
+    names += [] if "credential_key" in names else ["credential_key"]
+    done = redact_all(docs, names, Options(template=template or Template.parse(), comments=comments, **options))
+    found = done.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return done.drop("findings"), found

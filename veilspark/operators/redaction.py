@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors, spans
 from ..functions.tokens import Template
+from .detection import Detector, Leaf, resolve
 
 
 def merged_spans(text: Column, found: Column, template: Template | None = None, within: Iterable[str] = ()) -> Column:
@@ -29,15 +30,16 @@ def _allowed(secret: Column, values: Iterable[str], regexes: Iterable[str]) -> C
     return out
 
 
-def with_spans(df: DataFrame, names: Iterable[str] = detectors.DEFAULT, text_col: str = "text", out: str = "spans", template: Template | None = None, within: Iterable[str] = ()) -> DataFrame:
-    """df with the merged spans of the named detectors. The raw spans are a column of their own first, so that they
-    are computed once."""
+def with_spans(df: DataFrame, names: Iterable[str | Detector] = detectors.DEFAULT, text_col: str = "text", out: str = "spans", template: Template | None = None, within: Iterable[str] = ()) -> DataFrame:
+    """df with the merged spans of the named or given detectors. The raw spans are a column of their own first, so that
+    they are computed once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("__found", detectors.detect(text, names))
+    found = [d.column(Leaf(text)) for d in resolve(names)]
+    df = df.withColumn("__found", F.concat(*found) if found else spans.none())
     return df.withColumn(out, F.when(F.size("__found") == 0, spans.none()).otherwise(merged_spans(text, F.col("__found"), template, within))).drop("__found")
 
 
-def redact(df: DataFrame, names: Iterable[str] = detectors.DEFAULT, text_col: str = "text", template: Template | None = None, within: Iterable[str] = (), allow_values: Iterable[str] = (), allow_regexes: Iterable[str] = ()) -> DataFrame:
+def redact(df: DataFrame, names: Iterable[str | Detector] = detectors.DEFAULT, text_col: str = "text", template: Template | None = None, within: Iterable[str] = (), allow_values: Iterable[str] = (), allow_regexes: Iterable[str] = ()) -> DataFrame:
     """df with `redacted`: each distinct secret of a text gets a number by first appearance.
 
     One stage, no shuffle, so it also runs on streams. Allowed secrets stay in the text and keep their number. A null
@@ -46,19 +48,30 @@ def redact(df: DataFrame, names: Iterable[str] = detectors.DEFAULT, text_col: st
     template = template or Template.parse()
     out = with_spans(df, names, text_col, "__spans", template, within)
     text, s = F.col(text_col), F.col("__spans")
-    out = out.withColumn("__secrets", spans.secrets(text, s))
-    ids = F.array_distinct("__secrets")
-    token = lambda x, i: template.column(F.array_position(ids, F.get("__secrets", i)), x["label"])
-    tokens = F.transform(s, lambda x, i: F.when(_allowed(F.get("__secrets", i), allow_values, allow_regexes), F.get("__secrets", i)).otherwise(token(x, i)))
-    out = out.withColumn("__tokens", tokens)
-    return out.withColumn("redacted", F.when(text.isNotNull(), spans.replace(text, s, F.col("__tokens")))).drop("__spans", "__secrets", "__tokens")
 
+    def tokens(secrets: Column) -> Column:
+        """A secret's number is its place among the distinct ones."""
+        stays = _allowed_each(secrets, allow_values, allow_regexes)
+        number = lambda ids: F.transform(secrets, lambda x: F.array_position(ids, x))
+        put = lambda n, i: template.column(n, F.get(s, i)["label"])
+        made = spans.let(F.array_distinct(secrets), lambda ids: F.transform(number(ids), put))
+        return made if stays is None else F.zip_with(made, stays, lambda t, kept: F.coalesce(kept, t))
 
-def occurrences(df: DataFrame, names: Iterable[str] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    done = spans.replace(text, s, spans.let(spans.secrets(text, s), tokens))
+    return out.withColumn("redacted", F.when(text.isNull() | (F.size(s) == 0), text).otherwise(done)).drop("__spans")
+
+
+def _allowed_each(secrets: Column, values: Iterable[str], regexes: Iterable[str]) -> Column | None:
+    """The secrets that stay, null for the others; None where nothing is allowed."""
+    values, regexes = list(values), list(regexes)
+    return F.transform(secrets, lambda x: F.when(_allowed(x, values, regexes), x)) if values or regexes else None
+
+
+def occurrences(df: DataFrame, names: Iterable[str | Detector] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, label, secret) of each merged span."""
     found = with_spans(df.select(id_col, text_col), names, text_col)
-    rows = found.filter(F.size("spans") > 0).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.explode("spans").alias("s"))
-    return rows.select("doc_id", "s.start", "s.end", "s.label", spans.slice_text(F.col("__text"), F.col("s.start"), F.col("s.end")).alias("secret"))
+    rows = found.select(F.col(id_col).alias("doc_id"), F.explode(spans.with_secrets(F.col(text_col), F.col("spans"))).alias("s"))
+    return rows.select("doc_id", "s.start", "s.end", "s.label", "s.secret")
 
 
 def findings(occ: DataFrame, template: Template | None = None) -> DataFrame:

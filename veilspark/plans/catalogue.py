@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import detectors as D
 from ..functions import patterns as P
 from ..functions import spans as S
+from ..functions.globs import glob
 from ..functions.tokens import Template
 from ..operators import redaction, search
 from . import oracles as O
@@ -36,8 +37,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def _spans(df: DataFrame, found: Column, text: str = "text") -> DataFrame:
-    rows = df.select("doc_id", text, F.explode(found).alias("s"))
-    return rows.select("doc_id", "s.start", "s.end", "s.label", S.slice_text(F.col(text), F.col("s.start"), F.col("s.end")).alias("secret"))
+    rows = df.select("doc_id", F.explode(S.with_secrets(F.col(text), found)).alias("s"))
+    return rows.select("doc_id", "s.start", "s.end", "s.label", "s.secret")
 
 
 @query(O.spans(O.EMAIL, "pii:email"))
@@ -111,7 +112,7 @@ def json_leaves(spark, sf_dir):
 
 @query(f"SELECT event_id, path, value, regexp_matches(path, '^k$') AS hit FROM ({_LEAVES}) WHERE path <> 'session_id'")
 def path_detector(spark, sf_dir):
-    leaves = json_leaves(spark, sf_dir).filter(~F.col("path").rlike(P.glob("session*")))
+    leaves = json_leaves(spark, sf_dir).filter(~F.col("path").rlike(glob("session*")))
     return leaves.withColumn("hit", F.size(D.path(F.col("value"), F.col("path"), ["k", "**.secret"])) > 0)
 
 

@@ -11,13 +11,21 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from ..functions.patterns import SKIP_KEYS, SKIP_SUFFIXES
+from ..functions.patterns import HOST_KEYS, SKIP_KEYS, SKIP_SUFFIXES, SKIP_TYPE_PREFIXES, SKIP_TYPES, USER_KEYS
 
 
 class FormatError(ValueError):
     """Input that isn't of the format; the message shows a place, never a value."""
 
 
+class Keys(list):
+    """Keys of an object as they are read, and the values of its fields named `type`."""
+
+    def __init__(self, keys=()):
+        super().__init__(keys)
+        self.types: list[str] = []
+
+
 @dataclass
 class Leaf:
     value: str
@@ -26,19 +34,63 @@ class Leaf:
     start: int
     end: int
     style: str = "raw"
-    around: tuple = ()  # the key lists of the objects it lies in
+    around: tuple = ()  # the Keys of the objects it lies in, outermost first
     comment: bool = False
+    keys: tuple[str, ...] | None = None  # the keys of its path, each whole; None where the path's dots are the only dots
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Which leaves are scanned. A subclass may answer each question in its own way."""
+
+    skip_keys: tuple[str, ...] = SKIP_KEYS
+    skip_suffixes: tuple[str, ...] = SKIP_SUFFIXES
+    skip_types: tuple[str, ...] = SKIP_TYPES
+    skip_type_prefixes: tuple[str, ...] = SKIP_TYPE_PREFIXES
+    host_keys: tuple[str, ...] = HOST_KEYS
+    user_keys: tuple[str, ...] = USER_KEYS
+
+    def skip_key(self, key: str) -> bool:
+        """Whether a key's value, and all below it, is left alone."""
+        low = key.lower()
+        return low in self.skip_keys or low.endswith(self.skip_suffixes)
+
+    def skip_object(self, keys: Keys) -> bool:
+        """Whether an object is left alone for its type, such as an image's."""
+        return any(t.lower() in self.skip_types or t.lower().startswith(self.skip_type_prefixes) for t in keys.types)
+
+    def credential_context(self, keys: Keys) -> bool:
+        """Whether an object names a host and a user; a bare `password` in it or below is then a credential."""
+        names = {re.sub("[- .]", "_", k.lower()) for k in keys if k}
+        return bool(names & set(self.host_keys)) and bool(names & set(self.user_keys))
+
+    def lets_through(self, leaf: Leaf) -> bool:
+        keys = leaf.keys if leaf.keys is not None else leaf.path.split(".")
+        return not any(self.skip_key(k) for k in keys if k) and not any(self.skip_object(x) for x in leaf.around)
+
+
+class ScanAll(Policy):
+    """Every leaf is scanned."""
+
+    def skip_key(self, key: str) -> bool:
+        return False
+
+    def skip_object(self, keys: Keys) -> bool:
+        return False
 
 
 def skipped(key: str) -> bool:
-    low = key.lower()
-    return low in SKIP_KEYS or low.endswith(SKIP_SUFFIXES)
+    return Policy().skip_key(key)
 
 
 def _join(path: str, key: str | None) -> str:
     return path if key is None else f"{path}.{key}" if path else key
 
 
+def _down(names: tuple[str, ...], key: str | None) -> tuple[str, ...]:
+    return names if key is None else (*names, key)
+
+
 # -- JSON with comments, single quotes, bare keys and trailing commas ------------------------------------------
 _JSON_TOKEN = re.compile(r"""\s+|//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{}\[\]:,]|[^\s{}\[\]:,"'/]+|.""", re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(\r\n|.))", re.S)
@@ -86,15 +138,15 @@ def json_leaves(text: str, base: int = 0, comments: bool = False) -> Iterator[Le
             state = "value"
         else:
             mine = key if top and top["kind"] == "{" else None
-            path = _join(top["path"] if top else "", mine)
+            path, names = _join(top["path"] if top else "", mine), _down(top["names"] if top else (), mine)
             if t in "{[":
-                stack.append({"kind": t, "path": path, "keys": []})
+                stack.append({"kind": t, "path": path, "names": names, "keys": Keys()})
                 state = "key" if t == "{" else "value"
                 continue
             if t[0] in "}]:,/" or (t[0] in "\"'" and len(t) < 2):
                 raise FormatError(f"a value is missing at {m.start()}")
             if t[0] in "\"'":
-                yield Leaf(_unescape(t[1:-1]), mine, path, base + m.start(), base + m.end(), "json" + t[0], tuple(c["keys"] for c in stack))
+                yield Leaf(_unescape(t[1:-1]), mine, path, base + m.start(), base + m.end(), "json" + t[0], tuple(c["keys"] for c in stack), False, names)
             elif not re.fullmatch(r"[-+]?(?:0x[0-9A-Fa-f]+|[0-9.]+(?:[eE][-+]?[0-9]+)?|Infinity|NaN)|true|false|null", t):
                 raise FormatError(f"not a value at {m.start()}")
             state, done = "next", not stack
@@ -145,7 +197,7 @@ def _line_leaves(text: str, sections: bool, comments: bool, export: bool) -> Ite
         if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
             value, a = value[1:-1], a + 1
         if value:
-            yield Leaf(value, m[1], _join(section, m[1]), a, a + len(value))
+            yield Leaf(value, m[1], _join(section, m[1]), a, a + len(value), keys=tuple(x for x in (section, m[1]) if x))
 
 
 def ini_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
@@ -171,7 +223,7 @@ def properties_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
         sep = re.compile(r"[ \t\f]*[=:]?[ \t\f]*").match(line, lead + k.end())
         plain = lambda s: _ESCAPE.sub(lambda x: chr(int(x[1], 16)) if x[1] else _SIMPLE.get(x[3] or x[0][1], x[3] or x[0][1:]) if (x[3] or "x") in "ntrf" else (x[3] or x[0][1:]), re.sub(r"\\\r?\n[ \t\f]*", "", s))
         key, raw = plain(k[0]), line[sep.end() :]
-        yield Leaf(plain(raw), key, key, m.start() + sep.end(), m.end(), "properties")
+        yield Leaf(plain(raw), key, key, m.start() + sep.end(), m.end(), "properties", keys=(key,))
 
 
 def dsv_leaves(delimiter: str) -> Callable[..., Iterator[Leaf]]:
@@ -193,10 +245,10 @@ def dsv_leaves(delimiter: str) -> Callable[..., Iterator[Leaf]]:
                     continue
                 break
             at += 2 if text[at : at + 2] == "\r\n" else 1
-            names = header or []
+            names = Keys(header or ())
             for i, (value, a, b, style) in enumerate(row):
                 key = names[i] if i < len(names) else None
-                yield Leaf(value, key, key or "", a, b, style, (names,))
+                yield Leaf(value, key, key or "", a, b, style, (names,), False, _down((), key))
             header = header if header is not None else [v for v, *_ in row]
 
     return leaves
@@ -212,11 +264,11 @@ def yaml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
             top = stack[-1] if stack else None
             mapping = top is not None and top["kind"] == "map"
             if isinstance(e, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
-                path = top["path"] if top else ""
+                path, names = (top["path"], top["names"]) if top else ("", ())
                 if mapping:
-                    path = _join(path, top["key"])
+                    path, names = _join(path, top["key"]), _down(names, top["key"])
                     top["want"] = "key"
-                stack.append({"kind": "map" if isinstance(e, yaml.MappingStartEvent) else "seq", "path": path, "want": "key", "key": None, "keys": []})
+                stack.append({"kind": "map" if isinstance(e, yaml.MappingStartEvent) else "seq", "path": path, "names": names, "want": "key", "key": None, "keys": Keys()})
             elif isinstance(e, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
                 stack.pop()
             elif isinstance(e, (yaml.ScalarEvent, yaml.AliasEvent)):
@@ -230,7 +282,7 @@ def yaml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
                     key, top["want"] = top["key"], "key"
                 if isinstance(e, yaml.ScalarEvent) and e.value != "":
                     style = {"'": "yaml'", '"': "yaml\"", "|": "yaml|", ">": "yaml|"}.get(e.style or "", "yaml")
-                    yield Leaf(e.value, key, _join(top["path"] if top else "", key), e.start_mark.index, e.end_mark.index, style, tuple(c["keys"] for c in stack))
+                    yield Leaf(e.value, key, _join(top["path"] if top else "", key), e.start_mark.index, e.end_mark.index, style, tuple(c["keys"] for c in stack), False, _down(top["names"] if top else (), key))
     except yaml.YAMLError as x:
         raise FormatError("not YAML") from x
 
@@ -250,7 +302,7 @@ def toml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
     table, line, scopes = "", [], [("", "key")]
 
     def name(parts: list[str]) -> str:
-        return ".".join(p for raw in parts for p in ([_unescape(raw[1:-1])] if raw[0] in "\"'" else [x for x in raw.split(".") if x]))
+        return ".".join(p for raw in parts for p in ([_unescape(raw[1:-1]).replace(".", "\x1f")] if raw[0] in "\"'" else [x for x in raw.split(".") if x]))
 
     depth: list[str] = []
     for m in token.finditer(text):
@@ -296,7 +348,8 @@ def toml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
             q = 3 if t[:3] in ('"""', "'''") else 1
             body = t[q:-q]
             body = body[1:] if q == 3 and body[:1] == "\n" else body
-            yield Leaf(body if t[0] == "'" else _unescape(body), base.rsplit(".", 1)[-1] or None, base, m.start(), m.end(), "toml")
+            names = tuple(k.replace("\x1f", ".") for k in base.split(".") if k)
+            yield Leaf(body if t[0] == "'" else _unescape(body), names[-1] if names else None, ".".join(names), m.start(), m.end(), "toml", keys=names)
     if scopes[-1][1] == "head":
         return
 
@@ -339,7 +392,7 @@ def xml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
             attributes = list(_XML_ATTR.finditer(t))
             for a in attributes:
                 if a[2][1:-1]:
-                    yield Leaf(_xml_text(a[2][1:-1]), a[1], _join(_join(path, here["name"]), a[1]), m.start() + a.start(2), m.start() + a.end(2), "attr", ([x[1] for x in attributes],))
+                    yield Leaf(_xml_text(a[2][1:-1]), a[1], _join(_join(path, here["name"]), a[1]), m.start() + a.start(2), m.start() + a.end(2), "attr", (Keys(x[1] for x in attributes),))
             if not t.endswith("/>"):
                 stack.append(here)
         elif t.strip():
@@ -400,18 +453,19 @@ def _bplist(data: bytes):
 def bplist_leaves(data: bytes) -> list[Leaf]:
     out: list[Leaf] = []
 
-    def walk(x, key, path, around=()):
+    def walk(x, key, names, around=()):
         if isinstance(x, dict):
+            inner = Keys(x)
             for k, v in x.items():
-                walk(v, k, _join(path, k), (*around, list(x)))
+                walk(v, k, (*names, k), (*around, inner))
         elif isinstance(x, list):
             for v in x:
-                walk(v, None, path, around)
+                walk(v, None, names, around)
         elif isinstance(x, str):
-            out.append(Leaf(x, key, path, len(out), len(out), "bplist", around))
+            out.append(Leaf(x, key, ".".join(names), len(out), len(out), "bplist", around, False, names))
 
     try:
-        walk(_bplist(data), None, "")
+        walk(_bplist(data), None, ())
     except Exception as x:
         raise FormatError("not a binary property list") from x
     return out
@@ -495,18 +549,38 @@ def choose(data: bytes, path: str | None = None) -> str:
     return next((f.name for f in FORMATS.values() if f.sniff(data)), "text")
 
 
+def _surround(leaves: list[Leaf]) -> None:
+    """Give leaves of formats without nesting of their own the objects that their paths name."""
+    objects: dict[tuple[str, ...], Keys] = {}
+    for leaf in leaves:
+        if leaf.key is None or leaf.comment:
+            continue
+        names = leaf.keys if leaf.keys is not None else tuple(leaf.path.split("."))
+        objects.setdefault(names[:-1], Keys()).append(leaf.key)
+        leaf.around = tuple(objects.setdefault(names[:i], Keys()) for i in range(len(names)))
+
+
 def parse(data: bytes, path: str | None = None, name: str | None = None, comments: bool = False) -> tuple[str, list[Leaf], str | None]:
     """(format, leaves, warning). A format that was only guessed falls back to text; a named one fails."""
+    if name and name not in FORMATS:
+        raise FormatError(f"unknown format {name!r}; known are {', '.join(FORMATS)}")
     chosen = name or choose(data, path)
     try:
         if chosen == "bplist":
-            return chosen, bplist_leaves(data), None
-        return chosen, list(FORMATS[chosen].leaves(data.decode("utf-8", "surrogateescape" if chosen == "text" else "strict"), comments=comments)), None
+            leaves = bplist_leaves(data)
+        else:
+            leaves = list(FORMATS[chosen].leaves(data.decode("utf-8", "surrogateescape" if chosen == "text" else "strict"), comments=comments))
     except (FormatError, UnicodeDecodeError, ImportError) as x:
         if name:
             raise FormatError(f"{chosen}: {x if isinstance(x, FormatError) else 'cannot be read'}") from None
         text = data.decode("utf-8", "surrogateescape")
         return "text", list(text_leaves(text)), f"{x if isinstance(x, FormatError) else 'not UTF-8'}; treating input as plain text"
+    if chosen in ("toml", "ini", "dotenv", "properties", "hcl"):
+        _surround(leaves)
+    for leaf in leaves:
+        if leaf.key == "type" and leaf.around and not leaf.comment:
+            leaf.around[-1].types.append(leaf.value)
+    return chosen, leaves, None
 
 
 def encode(style: str, new: str) -> str:
@@ -537,7 +611,7 @@ def edit(value: str, edits: list[tuple[int, int, str]]) -> str:
     return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogateescape")
 
 
-def rewrite(data: bytes, chosen: str, leaves: list[Leaf], edits: dict[int, list[tuple[int, int, str]]]) -> bytes:
+def rewrite(data: bytes, chosen: str, leaves: list[Leaf] | dict[int, Leaf], edits: dict[int, list[tuple[int, int, str]]]) -> bytes:
     """The document with the edits of its leaves (by index); without edits, the very same bytes."""
     if not edits:
         return data
@@ -545,7 +619,7 @@ def rewrite(data: bytes, chosen: str, leaves: list[Leaf], edits: dict[int, list[
         return _bplist_render(data, {i: edit(leaves[i].value, e) for i, e in edits.items()})
     text = data.decode("utf-8", "surrogateescape" if chosen == "text" else "strict")
     parts, at = [], 0
-    for i in sorted(edits, key=lambda i: leaves[i].start):
+    for i in sorted((i for i in edits if edits[i]), key=lambda i: leaves[i].start):
         leaf = leaves[i]
         raw, value = text[leaf.start : leaf.end], leaf.value
         new = edit(value, edits[i])
