@@ -34,7 +34,7 @@ def glob(pattern: str, separator: str | None = ".") -> str:
         else:
             body, joint = body + joint + plain(segment), sep
     body += f"(?:{sep}.*)?" if final == "**" and joint else joint + plain(final)
-    return rf"(?s)\A{body}\z"
+    return rf"\A(?s:{body})\z"
 
 
 def python(expression: str) -> re.Pattern:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import detectors
+from .detection import Detector
 from .redaction import redact
 
 
@@ -34,7 +35,7 @@ def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return rows.select("doc_id", (F.col("n") + 1).alias("line_no"), "line")
 
 
-def grep(df: DataFrame, pattern: str, names: Iterable[str] = detectors.DEFAULT, invert: bool = False, max_count: int | None = None, before: int = 0, after: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grep(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, invert: bool = False, max_count: int | None = None, before: int = 0, after: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line, is_match) of matching lines of the redacted texts, with context lines.
 
     Only texts whose raw form matches are redacted. Context needs a window per document; without it there is no shuffle.
@@ -59,12 +60,12 @@ def context_groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("island", F.sum(F.coalesce(gap, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def counts(df: DataFrame, pattern: str, names: Iterable[str] = detectors.DEFAULT, **options) -> DataFrame:
+def counts(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, **options) -> DataFrame:
     """(doc_id, n) matching lines per text that has some."""
     return grep(df, pattern, names, **options).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-def without_match(df: DataFrame, pattern: str, names: Iterable[str] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_match(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of texts without a matching line after redaction, those that matched only before it included."""
     found = redact(df, names, text_col)
     return found.filter(~F.exists(F.split(F.coalesce("redacted", F.lit("")), "\n", -1), lambda x: x.rlike(pattern))).select(F.col(id_col).alias("doc_id"))
@@ -74,3 +75,40 @@ def in_lines(occ: DataFrame, added: DataFrame) -> DataFrame:
     """Occurrences (doc_id, line) that touch added line ranges (doc_id, first, last), each once."""
     ranges = added.select(F.col("doc_id").alias("__d"), "first", "last")
     return occ.join(ranges, (F.col("doc_id") == F.col("__d")) & F.col("line").between(F.col("first"), F.col("last")), "left_semi")
+
+
+def until_nul(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with each text cut off before its first NUL, where a search of it ends."""
+    return df.withColumn(text_col, F.substring_index(F.col(text_col), "\0", 1))
+
+
+def with_match(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text", invert: bool = False) -> DataFrame:
+    """Ids of texts with a matching line after redaction."""
+    return grep(df, pattern, names, invert=invert, id_col=id_col, text_col=text_col).select("doc_id").distinct()
+
+
+def only_matching(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, nr, match): each match of the redacted lines on its own."""
+    hits = grep(df, pattern, names, id_col=id_col, text_col=text_col)
+    return hits.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("nr", "match")).filter(F.col("match") != "")
+
+
+def any_match(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, **options) -> bool:
+    """Whether there is a matching line at all; stops at the first."""
+    return not grep(df, pattern, names, **options).limit(1).isEmpty()
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, line_no, json) of grep's rows, a JSON object per line."""
+    kind = F.when(F.col("is_match"), "match").otherwise("context")
+    return rows.select("doc_id", "line_no", F.to_json(F.struct(kind.alias("type"), F.col("doc_id").cast("string").alias("path"), F.col("line_no").alias("line_number"), F.col("line").alias("text"))).alias("json"))
+
+
+def multiline(df: DataFrame, pattern: str, names: Iterable[str | Detector] = detectors.DEFAULT, id_col: str = "doc_id", text_col: str = "text", dotall: bool = False) -> DataFrame:
+    """(doc_id, line_no, match): matches over the whole redacted text, which may run over lines."""
+    from ..functions import spans
+
+    p = ("(?s)" if dotall else "") + pattern
+    rows = redact(df.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(p)), names, text_col).withColumn("__spans", spans.find(F.coalesce("redacted", F.lit("")), p, "m"))
+    found = rows.select(F.col(id_col).alias("doc_id"), "redacted", F.explode(spans.with_secrets(F.col("redacted"), F.col("__spans"))).alias("s"))
+    return found.select("doc_id", spans.line_of(F.col("redacted"), F.col("s.start")).alias("line_no"), F.col("s.secret").alias("match"))

@@ -12,7 +12,10 @@ from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions.globs import glob
 from ..functions.tokens import Template
-from ..operators import redaction, search
+from ..operators import detection, documents, redaction, scan, search
+from ..rules import engine
+from ..sources import files
+from . import generated as G
 from . import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,14 +59,18 @@ def phone_spans(spark, sf_dir):
     return _spans(_read(spark, sf_dir), D.phone(F.col("text")))
 
 
-@query(O.spans(O.ADDRESS, "pii:address"))
+@query(O.spans(O.ADDRESS, "pii:address", f"SELECT c_custkey AS doc_id, {G.ADDRESS_TEXT} AS text FROM customer"))
 def address_spans(spark, sf_dir):
-    return _spans(_read(spark, sf_dir), D.address(F.col("text")))
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(G.ADDRESS_TEXT).alias("text"))
+    return _spans(rows, D.address(F.col("text")))
 
 
-@query(f"SELECT doc_id, regexp_replace(text, {O.quote(O.EMAIL)}, '[EMAIL]', 'g') AS redacted FROM documents")
+@query(O.redacted([O.spans(O.EMAIL, "pii:email", unit="length")], token="'<mail ' || id || '>'"))
 def redact_email_text(spark, sf_dir):
-    return _read(spark, sf_dir).select("doc_id", F.regexp_replace("text", P.EMAIL, "[EMAIL]").alias("redacted"))
+    from ..api import RedactorBuilder
+
+    redactor = RedactorBuilder().detector("pii:email").replacement("<mail {n}>").build()
+    return redactor.table(_read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "redacted")
 
 
 @query(O.redacted([O.spans(O.EMAIL, "pii:email", **_chars), O.spans(O.PHONE, "pii:phone", **_chars)]))
@@ -95,10 +102,13 @@ def hex_digest_tokens(spark, sf_dir):
     return side("documents", "doc_id", "text").unionByName(side("pages", "page_id", "html"))
 
 
-@query("""SELECT k AS key, count(*) AS n, k IN ('secret', 'token', 'pass', 'password', 'passwd', 'pwd', 'key') AS sensitive FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k""")
+_KEYS = {"apiKey": True, "AWSSecretKey": True, "API_KEY": True, "keyboard": False, "public_key": False, "my-public-key": False, "db.password": True, "monkey": False, "session token": True, "PWD": True, "passport": False, "idempotency_key": False, "k": False}
+
+
+@query("SELECT doc_id, k AS key, s AS sensitive FROM (SELECT n_nationkey AS doc_id FROM nation), (VALUES " + ", ".join(f"('{k}', {s})" for k, s in _KEYS.items()) + ") AS t(k, s)")
 def sensitive_key_hits(spark, sf_dir):
-    keys = _read(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
-    return keys.groupBy("key").agg(F.count("*").alias("n")).withColumn("sensitive", D.is_sensitive_key(F.col("key")))
+    keys = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.explode(F.array(*map(F.lit, _KEYS))).alias("key"))
+    return keys.withColumn("sensitive", D.is_sensitive_key(F.col("key")))
 
 
 _LEAVES = "SELECT event_id, key AS path, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)"
@@ -121,10 +131,10 @@ def token_assignment(spark, sf_dir):
     return _read(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("token"))
 
 
-@query(O.spans("almond|azure|chocolate|cornflower", "value", "SELECT p_partkey AS doc_id, p_name AS text FROM part"))
+@query(O.spans("red|gear|bolt|small", "value", "SELECT p_partkey AS doc_id, p_name AS text FROM part"))
 def value_detector(spark, sf_dir):
     parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return _spans(parts, D.values(F.col("text"), ["almond", "azure", "chocolate", "cornflower"]))
+    return redaction.occurrences(parts, detection.values(["red", "gear", "bolt", "small"]))
 
 
 _BOTH = [O.spans(O.EMAIL, "pii:email", **_chars), O.spans("[0-9a-f]{20,}", "hex", **_chars), O.spans(r'token = "[0-9a-f]+', "assign", **_chars)]
@@ -217,19 +227,16 @@ def grep_context(spark, sf_dir):
 _LEAD = O.spans(O.EMAIL, "pii:email")
 
 
-@query(f"SELECT o.* FROM ({_LEAD}) o WHERE NOT EXISTS (SELECT 1 FROM ({_LEAD}) p WHERE p.secret = o.secret AND p.doc_id < o.doc_id) AND NOT regexp_full_match(o.secret, 'a.*')")
+@query(O.redacted([O.spans(O.EMAIL, "pii:email", **_chars)], token="CASE WHEN regexp_full_match(secret, '[a-h].*') THEN secret ELSE '[REDACTED-' || id || ']' END"))
 def allow_regexes(spark, sf_dir):
-    """First sightings of each address, without those an allow pattern spares."""
-    rows = redaction.occurrences(_read(spark, sf_dir), ["pii:email"]).filter(~F.col("secret").rlike(r"(?s)\A(?:a.*)\z"))
-    first = rows.groupBy("secret").agg(F.min("doc_id").alias("d"))
-    return rows.join(first.withColumnRenamed("secret", "s"), (F.col("secret") == F.col("s")) & (F.col("doc_id") == F.col("d"))).drop("s", "d")
+    """Numbered addresses, of which those that an allow pattern fits stay and keep their number."""
+    return redaction.redact(_read(spark, sf_dir).select("doc_id", "text"), ["pii:email"], allow_regexes=["[a-h].*"]).select("doc_id", "redacted")
 
 
-@query(f"""SELECT h.doc_id, h."start", h."end" FROM ({O.spans('[0-9a-f]{20,}', 'hex')}) h WHERE NOT EXISTS (SELECT 1 FROM ({O.spans(r'token = "[0-9a-f]+"', 'within')}) w WHERE w.doc_id = h.doc_id AND w."start" <= h."start" AND w."end" >= h."end")""")
+@query(f"""SELECT h.doc_id, h."start", h."end", h.label, h.secret FROM ({O.spans('[0-9a-f]{20,}', 'regex')}) h WHERE NOT EXISTS (SELECT 1 FROM ({O.spans(r'token = "[0-9][0-9a-f]+"', 'within')}) w WHERE w.doc_id = h.doc_id AND w."start" <= h."start" AND w."end" >= h."end")""")
 def allow_within(spark, sf_dir):
-    text = F.col("text")
-    rest = S.outside(S.find(text, "[0-9a-f]{20,}", "hex"), S.find(text, 'token = "[0-9a-f]+"', "within"))
-    return _read(spark, sf_dir).select("doc_id", F.explode(rest).alias("s")).select("doc_id", "s.start", "s.end")
+    found = redaction.with_spans(_read(spark, sf_dir).select("doc_id", "text"), detection.regex(["[0-9a-f]{20,}"]), within=['token = "[0-9][0-9a-f]+"'])
+    return _spans(found, F.col("spans"))
 
 
 @query(f"""SELECT DISTINCT a.doc_id, a."start", a."end" FROM ({O.spans('[0-9a-f]{20,}', 'hex')}) a WHERE EXISTS (SELECT 1 FROM ({O.spans('[Tt]oken|[Kk]ey', 'word')}) b WHERE b.doc_id = a.doc_id AND b."start" BETWEEN a."start" - 80 AND a."end" + 80)""")
@@ -247,18 +254,18 @@ _RULES = [("aws", "akia"), ("generic-token", "token"), ("license", "license"), (
 
 @query("SELECT rule, count(*) AS docs FROM documents, (VALUES " + ", ".join(f"('{r}', '{k}')" for r, k in _RULES) + ") AS r(rule, keyword) WHERE contains(lower(text), keyword) GROUP BY rule")
 def keyword_candidates(spark, sf_dir):
-    """Rules whose keyword a text holds: a fixed list of rules, tested within the row."""
-    low = F.lower("text")
-    hits = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k")) for r, k in _RULES]), lambda r: F.contains(low, r["k"]))
-    return _read(spark, sf_dir).select(F.explode(hits).alias("r")).groupBy(F.col("r.rule").alias("rule")).agg(F.count("*").alias("docs"))
+    """Rules whose keyword a text holds, by the rule engine's first pass."""
+    source = "\n".join(f"[[rules]]\nid = '{r}'\nregex = 'x'\nkeywords = ['{k}']" for r, k in _RULES)
+    return engine.candidate_rules(_read(spark, sf_dir), [source]).groupBy("rule").agg(F.count("*").alias("docs"))
 
 
-@query(f"""SELECT doc_id, secret, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, secret ORDER BY label, "start") AS rn FROM ({O.spans('[0-9a-f]{40}', '0-hex40')} UNION ALL {O.spans('[0-9a-z]{24,}', '1-long')})) WHERE rn = 1""")
+@query(f"""SELECT doc_id, secret, 'ruleset:' || label AS label, count(*) AS n FROM (SELECT *, min(label) OVER (PARTITION BY doc_id, secret) AS first FROM ({O.spans('[0-9a-f]{40}', 'a-hex40')} UNION ALL {O.spans('[0-9a-z]{24,}', 'b-long')})) WHERE label = first GROUP BY ALL""")
 def rule_dedup(spark, sf_dir):
-    """The first rule in file order wins per distinct secret of a text."""
-    text = F.col("text")
-    rows = _spans(_read(spark, sf_dir), F.concat(S.find(text, "[0-9a-f]{40}", "0-hex40"), S.find(text, "[0-9a-z]{24,}", "1-long")))
-    return rows.groupBy("doc_id", "secret").agg(F.min("label").alias("label"))
+    """The first rule in file order wins per distinct secret of a text, and reports each of its occurrences."""
+    own = engine.ruleset(["[[rules]]\nid = 'a-hex40'\nregex = '[0-9a-f]{40}'\n[[rules]]\nid = 'b-long'\nregex = '[0-9a-z]{24,}'"])
+    found = _read(spark, sf_dir).select("doc_id", "text").withColumn("found", own.column(detection.Leaf(F.coalesce("text", F.lit("")))))
+    raw = _spans(found, F.col("found"))
+    return raw.groupBy("doc_id", "secret", "label").agg(F.count("*").alias("n"))
 
 
 _CONV = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
@@ -276,30 +283,33 @@ def findings_cube(spark, sf_dir):
     return rows.cube("lang", "detector").agg(F.sum("occurrences").alias("n"), F.count("*").alias("secrets"), F.grouping("lang").cast("int").alias("all_langs"), F.grouping("detector").cast("int").alias("all_detectors"))
 
 
-@query(f"""WITH f AS ({_FINDINGS}), added AS (SELECT doc_id, 1 AS first, 3 AS last FROM documents)
+@query(f"""WITH added AS (SELECT doc_id, doc_id % 4 + 1 AS first, doc_id % 4 + 4 AS last FROM documents)
 SELECT o.doc_id, o."start", 1 + strlen(h) - strlen(replace(h, chr(10), '')) AS line FROM (SELECT s.doc_id, strlen(substr(text, 1, s."start")) AS "start", substr(text, 1, s."start") AS h FROM ({O.spans(O.EMAIL, 'e', **_chars)}) s JOIN documents USING (doc_id)) o JOIN added a ON a.doc_id = o.doc_id WHERE 1 + strlen(h) - strlen(replace(h, chr(10), '')) BETWEEN a.first AND a.last""")
 def diff_lines(spark, sf_dir):
-    """Addresses on the first three lines of a text, as if those were the lines a change adds."""
+    """Addresses on added lines, which are four of each text."""
     docs = _read(spark, sf_dir)
     rows = docs.select("doc_id", "text", F.explode(D.email(F.col("text"))).alias("s")).select("doc_id", "s.start", S.line_of(F.col("text"), F.col("s.start")).alias("line"))
-    added = docs.select("doc_id", F.lit(1).alias("first"), F.lit(3).alias("last"))
+    added = docs.select("doc_id", (F.col("doc_id") % 4 + 1).alias("first"), (F.col("doc_id") % 4 + 4).alias("last"))
     return search.in_lines(rows, added)
 
 
-@query("SELECT doc_id, strlen(text) AS bytes, position(chr(0) IN text) > 0 AS is_binary FROM documents WHERE strlen(text) <= 10485760")
+@query("SELECT doc_id, strlen(text) AS size, doc_id % 3 = 0 AS is_binary FROM documents WHERE strlen(text) <= 2000")
 def size_and_binary_filter(spark, sf_dir):
-    raw = F.encode("text", "UTF-8")
-    return _read(spark, sf_dir).filter(F.octet_length("text") <= 10485760).select("doc_id", F.octet_length("text").alias("bytes"), (F.position(F.lit(b"\x00"), F.substring(raw, F.lit(1), F.lit(8192))) > 0).alias("is_binary"))
+    """A size limit that leaves texts out, and a NUL put into every third text."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ab\0"), "text")).otherwise(F.col("text"))
+    rows = _read(spark, sf_dir).select("doc_id", F.octet_length("text").alias("size"), F.encode(text, "UTF-8").alias("content"))
+    return files.within_size(rows, 2000).select("doc_id", "size", files.is_binary("content").alias("is_binary"))
 
 
-@query()
+@query(G.credential_spans())
 def default_detectors(spark, sf_dir):
-    """All default detectors over documents; checked in the tests against plain Python."""
-    return redaction.occurrences(_read(spark, sf_dir), D.DEFAULT)
+    """All default detectors over texts with credentials of each kind."""
+    return redaction.occurrences(G.credentials(spark, sf_dir), D.DEFAULT)
 
 
-@query()
+@query(O.redacted([O.spans(O.EMAIL, "pii:email", **_chars), O.spans(O.PHONE, "pii:phone", **_chars)], token="'[' || label || '#' || id || ']'"))
 def labelled_redaction(spark, sf_dir):
+    """Personal data beside the default detectors, which find nothing in these texts."""
     docs = _read(spark, sf_dir).select("doc_id", "text")
     return redaction.redact(docs, [*D.DEFAULT, *PII], template=Template.parse("[{reason}#{n}]")).select("doc_id", "redacted")
 
@@ -309,8 +319,6 @@ SELECT doc_id, 0 AS leaf_idx, NULL AS key, 'name' AS value FROM n GROUP BY doc_i
 UNION ALL SELECT doc_id, 2 * rn, 'name', n_name FROM n UNION ALL SELECT doc_id, 2 * rn + 1, 'number', n_nationkey::VARCHAR FROM n""")
 def csv_leaves(spark, sf_dir):
     """Nations of each region written as a CSV document and read back as leaves."""
-    from ..operators import documents
-
     rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
     body = F.concat(F.lit("name,number\n"), F.array_join(F.transform(rows, lambda r: F.concat(r["n_name"], F.lit(","), r["n_nationkey"].cast("string"), F.lit("\r\n"))), ""))
     docs = _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.encode(body, "UTF-8").alias("content"))
@@ -320,9 +328,88 @@ def csv_leaves(spark, sf_dir):
 @query(f"SELECT doc_id::VARCHAR AS doc_id, 'json' AS format, '{{\"text\":' || to_json(redacted) || '}}' AS content FROM ({O.redacted([O.spans(O.EMAIL, 'pii:email', **_chars), O.spans(O.PHONE, 'pii:phone', **_chars)])}) WHERE regexp_matches(redacted, 'REDACTED')")
 def structured_roundtrip(spark, sf_dir):
     """Documents wrapped as JSON, parsed, redacted at their leaves and rewritten; those with findings."""
-    from ..operators import documents
-
     docs = _read(spark, sf_dir).select("doc_id", F.lit("d.json").alias("path"), F.encode(F.to_json(F.struct("text")), "UTF-8").alias("content"))
     rendered, _ = documents.redact_documents(docs, PII)
     out = rendered.select("doc_id", "format", F.decode("content", "UTF-8").alias("content"))
     return out.filter(F.contains("content", F.lit("REDACTED")))
+
+
+@query(G.expected_leaves())
+def format_leaves(spark, sf_dir):
+    """Leaves of a document in each format, with keys that hold dots and keys that are skipped."""
+    return documents.leaves(G.formatted(spark, sf_dir)).select("doc_id", "format", "leaf_idx", "key", "path", "value")
+
+
+@query(G.expected_documents())
+def format_redaction(spark, sf_dir):
+    """The same documents redacted: a token by its key, and its other occurrences because it is known."""
+    done = documents.redact_all(G.formatted(spark, sf_dir))
+    return done.select("doc_id", "format", F.decode("content", "UTF-8").alias("content"))
+
+
+@query(G.expected_findings())
+def format_findings(spark, sf_dir):
+    found = documents.redact_all(G.formatted(spark, sf_dir)).select("doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", "f.id", "f.detector", "f.field", "f.path", "f.occurrences", F.get("f.offsets", F.lit(0)).alias("first_at"))
+
+
+@query(G.expected_allowed())
+def allow_lists(spark, sf_dir):
+    """Allowed paths, files, paths of some files, patterns, and objects left alone for their type."""
+    from ..functions.globs import FileGlobs, FileKeyPaths
+
+    options = documents.Options(allow_paths=("keep",), file_paths=FileKeyPaths.of(["web/*.json#css_token"]), files=FileGlobs(("lib/",)), allow=documents.Allow(regexes=["u1.*"]))
+    done = documents.redact_all(G.allow_documents(spark, sf_dir), ["entropy", "pii:email"], options)
+    return done.select("doc_id", F.decode("content", "UTF-8").alias("content"))
+
+
+def _ruled(spark, sf_dir, kind):
+    return redaction.occurrences(G.rule_texts(spark, sf_dir, kind), [engine.ruleset([G.RULES[kind]])])
+
+
+_RULE = lambda kind: f"SELECT o_orderkey AS doc_id, {G.RULE_TEXTS[kind]} AS text, md5(CAST(o_orderkey AS STRING)) AS h, o_orderkey % 60 AS k FROM orders"
+
+
+@query(f"""SELECT doc_id, position('tok=' IN text) + 3 AS "start", position('tok=' IN text) + 35 AS "end", 'ruleset:token' AS label, h AS secret FROM ({_RULE('match')}) WHERE k % 5 <> 0
+ UNION ALL SELECT doc_id, position('again ' IN text) + 5, position('again ' IN text) + 37, 'ruleset:token', h FROM ({_RULE('match')}) WHERE k % 5 <> 0""")
+def rule_occurrences(spark, sf_dir):
+    """A rule's secret wherever it stands, but for lines that are marked as allowed."""
+    return _ruled(spark, sf_dir, "match")
+
+
+@query(f"""SELECT doc_id, count(*) AS n FROM ({_RULE('match')}) WHERE k % 5 <> 0 GROUP BY doc_id""")
+def rule_match(spark, sf_dir):
+    """Distinct secrets by rule."""
+    return _ruled(spark, sf_dir, "match").groupBy("doc_id").agg(F.count_distinct("secret").alias("n"))
+
+
+@query(f"""SELECT doc_id, position('key=' IN text) + 3 AS "start", position('key=' IN text) + 35 AS "end", 'ruleset:key' AS label, h AS secret FROM ({_RULE('component')}) WHERE k % 6 <= 3""")
+def rule_components(spark, sf_dir):
+    """Keys with an id at most three lines above."""
+    return _ruled(spark, sf_dir, "component")
+
+
+@query(f"""SELECT doc_id, 4 AS "start", length(text) AS "end", 'ruleset:token' AS label, substr(text, 5) AS secret FROM ({_RULE('filter')}) WHERE NOT contains(lower(substr(text, 5)), 'test') AND list_aggregate(string_split(substr(text, 5), ''), 'entropy') > 2.0""")
+def rule_filters(spark, sf_dir):
+    """Tokens that neither the file's filter nor the rule's entropy discards."""
+    return _ruled(spark, sf_dir, "filter")
+
+
+@query(f"""WITH f AS ({G.credential_spans()}) SELECT p AS path, count(*) AS count, list(label ORDER BY doc_id, "start") AS labels, p = 'd3.txt' AS protected FROM (SELECT 'd' || (doc_id % 7) || '.txt' AS p, * FROM f WHERE doc_id BETWEEN 1 AND 7) GROUP BY p""")
+def scan_files(spark, sf_dir):
+    """What a scan reports of seven files, one of them protected."""
+    from ..functions.globs import FileGlobs
+
+    texts = G.credentials(spark, sf_dir).filter("doc_id BETWEEN 1 AND 7")
+    docs = texts.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("doc_id"), F.lit("d.txt").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    report = scan.scanned(documents.redact_all(docs), FileGlobs(("d3.*",)))
+    return report.select("path", "count", F.col("detectors").alias("labels"), "protected")
+
+
+@query("""SELECT n, w, greatest(w * 6 - 2, 0) AS first, least(w * 6 + 8, n) AS "end", w * 6 AS owned_from, least(w * 6 + 6, n) AS owned_to FROM (SELECT n, unnest(range((n + 5) // 6)) AS w FROM (SELECT DISTINCT length(text) % 50 + 11 AS n FROM documents))""")
+def token_windows(spark, sf_dir):
+    """Windows of at most ten tokens with two of context, for several lengths."""
+    from ..functions.classify import windows_column
+
+    lengths = _read(spark, sf_dir).filter("text is not null").select((F.length("text") % 50 + 11).alias("n")).distinct()
+    return lengths.select("n", F.posexplode(windows_column(F.col("n"), 10, 2)).alias("w", "x")).select("n", "w", "x.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# What the detectors match, in DuckDB's dialect.
 _S = r"[\s\x{85}\p{Z}]"
 _SEP, _DASH = r"(?:[-.]|" + _S + ")", r"(?:-|" + _S + ")"
 STREET = "St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Ln|Lane|Rd|Road|Ct|Court|Pl(?:ace)?|Way|Cir(?:cle)?|Ter(?:race)?|Pkwy|Parkway"
@@ -30,11 +31,11 @@ def merged(parts: list[str], source: str = "documents") -> str:
   FROM ({" UNION ALL ".join(parts)}) WINDOW w AS (PARTITION BY doc_id ORDER BY "start", "end" DESC, label))) GROUP BY doc_id, island"""
 
 
-def redacted(parts: list[str], source: str = "SELECT doc_id, text FROM documents") -> str:
-    """(doc_id, redacted): numbered redaction by the spans of parts (in characters)."""
-    return f"""WITH s AS (SELECT x.doc_id, "start", "end", substr(text, "start" + 1, "end" - "start") AS secret, row_number() OVER (PARTITION BY x.doc_id ORDER BY "start") AS rn, coalesce(lag("end") OVER (PARTITION BY x.doc_id ORDER BY "start"), 0) AS prev FROM ({merged(parts)}) x JOIN ({source}) d USING (doc_id)),
+def redacted(parts: list[str], source: str = "SELECT doc_id, text FROM documents", token: str = "'[REDACTED-' || id || ']'") -> str:
+    """(doc_id, redacted): numbered redaction by the spans of parts (in characters). token may use id, label and secret."""
+    return f"""WITH s AS (SELECT x.doc_id, "start", "end", label, substr(text, "start" + 1, "end" - "start") AS secret, row_number() OVER (PARTITION BY x.doc_id ORDER BY "start") AS rn, coalesce(lag("end") OVER (PARTITION BY x.doc_id ORDER BY "start"), 0) AS prev FROM ({merged(parts)}) x JOIN ({source}) d USING (doc_id)),
 ids AS (SELECT doc_id, secret, row_number() OVER (PARTITION BY doc_id ORDER BY min(rn)) AS id FROM s GROUP BY doc_id, secret),
-head AS (SELECT s.doc_id, string_agg(substr(text, prev + 1, "start" - prev) || '[REDACTED-' || id || ']', '' ORDER BY rn) AS h, max("end") AS last FROM s JOIN ids USING (doc_id, secret) JOIN ({source}) d USING (doc_id) GROUP BY s.doc_id)
+head AS (SELECT s.doc_id, string_agg(substr(text, prev + 1, "start" - prev) || ({token}), '' ORDER BY rn) AS h, max("end") AS last FROM s JOIN ids USING (doc_id, secret) JOIN ({source}) d USING (doc_id) GROUP BY s.doc_id)
 SELECT doc_id, CASE WHEN h IS NULL THEN text ELSE h || substr(text, last + 1) END AS redacted FROM ({source}) d LEFT JOIN head USING (doc_id)"""
 
 

@@ -338,6 +338,26 @@ def ruleset(sources: Iterable[str], **options) -> Detector:
     return Detector("ruleset", python=lambda leaf: made(given).find(leaf.value))
 
 
+def candidate_rules(df, sources: Iterable[str], id_col: str = "doc_id", text_col: str = "text"):
+    """(doc_id, rule) of the rules that each text would be tried on, before any pattern runs."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    given = RulesetOptions(tuple(sources))
+    made(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = made(given)
+        for batch in batches:
+            rows = [(i, r.id) for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) if t for r in own.candidates(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, _ in rows], batch.schema.field(0).type), pa.array([r for _, r in rows], pa.string())], ["doc_id", "rule"])
+
+    some = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return some.mapInArrow(run, f"doc_id {some.schema[0].dataType.simpleString()}, rule string")
+
+
 def from_paths(paths: Iterable[str], **options) -> Detector:
     return ruleset([Path(p).read_text("utf-8") for p in paths], **options)
 

@@ -1 +1 @@
-"""See the README for the map of this package."""
+"""Formats, files and reports."""

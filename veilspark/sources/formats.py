@@ -19,11 +19,11 @@ class FormatError(ValueError):
 
 
 class Keys(list):
-    """Keys of an object as they are read, and the values of its fields named `type`."""
+    """Keys of an object as they are read, and the text values of its fields."""
 
     def __init__(self, keys=()):
         super().__init__(keys)
-        self.types: list[str] = []
+        self.fields: list[tuple[str, str]] = []
 
 
 @dataclass
@@ -49,6 +49,7 @@ class Policy:
     skip_type_prefixes: tuple[str, ...] = SKIP_TYPE_PREFIXES
     host_keys: tuple[str, ...] = HOST_KEYS
     user_keys: tuple[str, ...] = USER_KEYS
+    type_key: str = "type"
 
     def skip_key(self, key: str) -> bool:
         """Whether a key's value, and all below it, is left alone."""
@@ -57,7 +58,8 @@ class Policy:
 
     def skip_object(self, keys: Keys) -> bool:
         """Whether an object is left alone for its type, such as an image's."""
-        return any(t.lower() in self.skip_types or t.lower().startswith(self.skip_type_prefixes) for t in keys.types)
+        kinds = [v.lower() for k, v in keys.fields if k.lower() == self.type_key]
+        return any(x in self.skip_types or x.startswith(self.skip_type_prefixes) for x in kinds)
 
     def credential_context(self, keys: Keys) -> bool:
         """Whether an object names a host and a user; a bare `password` in it or below is then a credential."""
@@ -534,6 +536,19 @@ FORMATS = {
 }
 
 
+ALL_NAMES = tuple(FORMATS)
+
+
+def usable(name: str) -> bool:
+    """Whether what a format needs is installed."""
+    if name == "yaml":
+        try:
+            import yaml  # noqa: F401
+        except ImportError:
+            return False
+    return True
+
+
 def register(fmt: Format) -> None:
     """Add a format; one of the same name is replaced and asked last when sniffing, first by extension."""
     FORMATS.pop(fmt.name, None)
@@ -578,8 +593,8 @@ def parse(data: bytes, path: str | None = None, name: str | None = None, comment
     if chosen in ("toml", "ini", "dotenv", "properties", "hcl"):
         _surround(leaves)
     for leaf in leaves:
-        if leaf.key == "type" and leaf.around and not leaf.comment:
-            leaf.around[-1].types.append(leaf.value)
+        if leaf.key is not None and leaf.around and not leaf.comment and len(leaf.value) < 200:
+            leaf.around[-1].fields.append((leaf.key, leaf.value))
     return chosen, leaves, None
 
 
