@@ -29,9 +29,9 @@ from . import common
 #: Fixed value: how byte-level vocabularies of this kind cut texts into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that a cache takes up before what isn't in use is let go of, twice that in all; pairs known to stay apart.
-CHUNK_CACHE, WORD_CACHE, PAIRS = 32 << 20, 12 << 20, 300_000
+CHUNK_CACHE, WORD_CACHE, PAIRS = 40 << 20, 20 << 20, 300_000
 ENTRY = 180  # bytes of a cache entry besides its key and its ids
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Cache(dict):
@@ -171,35 +171,35 @@ class TrieBpe:
         """Encodings of distinct words, packed. The sorted words are the trie's leaves in depth-first order; `last`
         and `start` hold the states of the current path, of which the shared prefix is kept."""
         out: dict[bytes, bytes] = {}
-        get, apart, whole, longest = self.ids.get, self.stays_apart, self.is_whole, self.longest
-        known = self.apart
+        get, apart, whole, longest, known = self.ids.get, self.stays_apart, self.is_whole, self.longest, self.apart
         before = b""
         last: list[int] = [-1]
         start: list[int] = [0]
         for word in sorted(words):
             n, shared = len(word), 0
             limit = min(n, len(before))
-            while shared < limit and word[shared] == before[shared]:
-                shared += 1
+            if word[:limit] == before[:limit]:
+                shared = limit
+            else:
+                while word[shared] == before[shared]:
+                    shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for i in range(shared + 1, n + 1):
                 # one start fits, so the likely ones come first: the token before grows, or a byte stands alone
-                grow = start[i - 1]
-                for j in (grow, i - 1, *range(i - longest if i > longest else 0, grow), *range(grow + 1, i - 1)):
+                grow = j = start[i - 1]
+                t = get(word[j:i])
+                ok = t is not None and ((x if (x := known.get(last[j] << 32 | t)) is not None else apart(last[j], t)) if j else whole(t))
+                if not ok:
+                    j = i - 1
                     t = get(word[j:i])
-                    if t is None:
-                        continue
-                    if j:
-                        ok = known.get(last[j] << 32 | t)
-                        if ok is None:
-                            ok = apart(last[j], t)
-                        if not ok:
-                            continue
-                    elif not whole(t):
-                        continue
-                    last.append(t)
-                    start.append(j)
-                    break
+                    ok = (x if (x := known.get(last[j] << 32 | t)) is not None else apart(last[j], t)) if j else whole(t)
+                if not ok:
+                    for j in chain(range(i - longest if i > longest else 0, grow), range(grow + 1, i - 1)):
+                        t = get(word[j:i])
+                        if t is not None and (apart(last[j], t) if j else whole(t)):
+                            break
+                last.append(t)
+                start.append(j)
             ids, i = [], n
             while i:
                 ids.append(last[i])
