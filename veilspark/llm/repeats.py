@@ -1,8 +1,8 @@
 """Removal of long repeated passages: every byte covered by a string of `length` bytes that an earlier document has.
 
-The column-wise construction of a collection's Burrows-Wheeler transform needs one pass over everything inserted so
-far for each symbol of the longest document; see the README for why it isn't the main path here. `column_wise` below
-is that construction for small collections, and the tests hold the main path against it.
+`column_wise` below is the column-wise construction of a collection's Burrows-Wheeler transform, over overlapping
+segments and through sequential files. Each of its rounds passes over everything inserted so far, which costs more than
+the limit of time allows (figures in the README), so it isn't the main path; the tests hold the main path against it.
 
 The main path finds the same strings by content-defined routing. Every window of `length` bytes has a smallest
 k-gram hash; equal windows have equal ones. Maximal runs of windows with the same smallest hash are the units:
@@ -284,38 +284,84 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     return chunks.with_answers(table, answers.union(plans), handle, schema)
 
 
-def column_wise(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Removal masks from a collection's suffix order, built column by column, for small collections.
+def segments(texts: list[bytes], length: int, stride: int) -> list[tuple[int, int, bytes]]:
+    """(text, start, bytes) of overlapping pieces such that each window of `length` bytes lies whole in one of them."""
+    return [(t, a, x[a : a + stride + length - 1]) for t, x in enumerate(texts) for a in range(0, max(len(x) - length + 1, 0), stride)]
 
-    Each round inserts one more symbol of every text, from the end, into the order of the suffixes so far: a new
-    suffix sorts by its symbol, then by where its tail stands. Common prefixes follow in the same way from those of
-    the tails. Suffixes whose common prefix reaches `length` share a string of that size.
+
+def column_wise(texts: list[bytes], length: int, stride: int = 99, folder: str | None = None) -> list[np.ndarray]:
+    """Removal masks by the column-wise construction of a collection's Burrows-Wheeler transform and common prefixes.
+
+    Texts are cut into overlapping segments, so the number of rounds is a segment's length, however long the texts. Each
+    round inserts one more symbol of every segment, from its end: the rows (suffixes so far, in order) are read in
+    sequence, a stable sort by the symbol before each row gives where the longer suffixes stand, and their common
+    prefixes are one more than the least between the rows they come from. The transform and the prefixes pass from round
+    to round through files in `folder`, written and read in sequence. Rows whose common prefix reaches `length` share a
+    window; the smallest text of each such group keeps it.
     """
-    order: list[tuple[int, int]] = []  # (text, start) of all suffixes so far, in order
-    rank: dict[tuple[int, int], int] = {}
-    lcp: list[int] = []  # with the suffix before
-    for size in range(1, max(map(len, texts), default=0) + 1):
-        new = [(t, len(x) - size) for t, x in enumerate(texts) if len(x) >= size]
-        place = lambda s: (texts[s[0]][s[1]], rank.get((s[0], s[1] + 1), -1), s[0])
-        merged = sorted(order + new, key=place)
-        least, old = [], lcp
-        for i, s in enumerate(merged):
-            if not i or texts[s[0]][s[1]] != texts[merged[i - 1][0]][merged[i - 1][1]]:
-                least.append(0)
-                continue
-            a, b = rank.get((merged[i - 1][0], merged[i - 1][1] + 1), -1), rank.get((s[0], s[1] + 1), -1)
-            least.append(1 + (min(old[a + 1 : b + 1], default=0) if a >= 0 and b > a else 0))
-        order, lcp = merged, least
-        rank = {s: i for i, s in enumerate(order)}
+    import os
+    import tempfile
+
     masks = [np.zeros(len(x), bool) for x in texts]
-    group: list[tuple[int, int]] = []
-    for i, s in enumerate([*order, None]):
-        if s is None or lcp[i] < length:
-            low = min((t for t, _ in group), default=0)
-            for t, p in group:
-                if t > low:
-                    masks[t][p : p + length] = True
-            group = []
-        if s is not None and len(texts[s[0]]) - s[1] >= length:
-            group.append(s)
+    cut = segments(texts, length, stride)
+    if not cut:
+        return masks
+    sizes = np.array([len(x) for *_, x in cut])
+    m, rounds = len(cut), int(sizes.max())
+    column = np.zeros((rounds + 1, m), np.uint16)  # symbols from the end, 1 to 256; 0 before the first
+    for k, (*_, x) in enumerate(cut):
+        column[: len(x), k] = np.frombuffer(x, np.uint8)[::-1].astype(np.uint16) + 1
+    with tempfile.TemporaryDirectory(dir=folder) as at:
+        names = [os.path.join(at, n) for n in ("transform", "prefixes")]
+
+        def put(rows: np.ndarray, common: np.ndarray) -> None:
+            rows.tofile(names[0])
+            common.tofile(names[1])
+
+        put(column[0].copy(), np.zeros(m, np.uint8))
+        row = np.arange(m)  # where each segment's longest suffix so far stands
+        for size in range(1, rounds + 1):
+            rows, common = np.fromfile(names[0], np.uint16), np.fromfile(names[1], np.uint8)
+            grows = np.flatnonzero(sizes >= size)
+            order = np.argsort(rows, kind="stable")
+            ranked = rows[order]
+            done = int(np.searchsorted(ranked, 1))  # rows with nothing before them
+            total = m + len(rows) - done
+            place = np.empty(len(rows), np.int64)
+            place[order] = np.arange(len(rows)) + m - done
+            new = np.zeros(total, bool)
+            row[grows] = place[row[grows]]
+            new[row[grows]] = True
+            after = np.empty(total, np.uint16)
+            after[~new] = rows
+            after[row[grows]] = column[size, grows]
+            longer = np.zeros(total, np.uint8)
+            bounds = np.append(np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]), len(rows))
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a >= done and b - a > 1:  # rows of one symbol follow each other, so one pass gives all the least ones
+                    of = order[a:b]
+                    least = np.minimum.reduceat(common[: of[-1] + 1], of[:-1] + 1)
+                    longer[a + 1 + m - done : b + m - done] = np.minimum(least, length - 1) + 1
+            stays = np.setdiff1d(np.arange(m), grows, assume_unique=True)
+            row[stays] = np.flatnonzero(~new)[row[stays]]
+            put(after, longer)
+        rows, common = np.fromfile(names[0], np.uint16), np.fromfile(names[1], np.uint8)
+    order = np.argsort(rows, kind="stable")
+    done = int(np.count_nonzero(rows == 0))
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows)) + m - done
+    group = np.cumsum(common < length)
+    owner, start = np.array([t for t, *_ in cut]), np.array([a for _, a, _ in cut])
+    least = np.full(int(group[-1]) + 1, len(texts))
+    at, found = np.arange(m), []
+    for size in range(1, rounds + 1):
+        some = np.flatnonzero(sizes >= size)
+        at[some] = place[at[some]]
+        if size >= length:
+            found.append((some, group[at[some]], start[some] + sizes[some] - size))
+            np.minimum.at(least, found[-1][1], owner[some])
+    for some, mine, begin in found:
+        for k, g, p in zip(owner[some].tolist(), mine.tolist(), begin.tolist(), strict=True):
+            if least[g] < k:
+                masks[k][p : p + length] = True
     return masks
