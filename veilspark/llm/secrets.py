@@ -2,7 +2,9 @@
 
 Each text is a layer. A layer is searched for secrets; then every encoding found in it is unwrapped into a new
 layer that goes on the worklist: URL escapes and backslash-u escapes (whole layer), base64 runs, also joined over
-line breaks, and base64 runs that hold gzip or zlib data. A layer carries a map from its characters to spans of the original text, so a secret
+line breaks and from each of the four places where their first group may begin (they may stand behind letters of the
+same alphabet, such as a path), and base64 runs that hold gzip or zlib data. Bytes with as many zeros as UTF-16 has are
+also read as that. A layer carries a map from its characters to spans of the original text, so a secret
 found at any depth is reported as the smallest span of the original that produced it. Layers that were seen before
 (same content over the same original span) end their branch, so data that unpack to themselves stop at a fixpoint.
 Every layer is scanned, also if it isn't text: bytes that aren't UTF-8 stand in it as lone surrogates.
@@ -231,6 +233,27 @@ def _unpack(run: str, limit: int) -> Iterator[tuple[str, bool]]:
         yield data.decode("utf-8", "surrogateescape"), False
 
 
+def _shifted(run: str) -> Iterator[int]:
+    """Where in a base64 run the data may begin: its first four characters, what follows a slash, and gzip's mark."""
+    starts = {0, 1, 2, 3}
+    starts.update(m.end() for m in re.finditer("/", run))
+    starts.update(m.start() for m in re.finditer("H4sI", run))
+    return (i for i in sorted(starts) if len(run) - i >= 16)
+
+
+def _packed_head(run: str, start: int) -> bool:
+    return _packed(base64.b64decode(run[start : start + 8].replace("-", "+").replace("_", "/")))
+
+
+def _as_utf16(text: str) -> Iterator[str]:
+    """What a layer's bytes say as UTF-16, where every other one is mostly zero."""
+    zeros = text.count("\0")
+    if zeros > len(text) // 4:
+        data = text.encode("utf-8", "surrogateescape")
+        low = data[1::2].count(0)
+        yield data[: len(data) // 2 * 2].decode("utf-16-le" if 2 * low >= zeros else "utf-16-be", "replace")
+
+
 def base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
     """(run, start, end) of base64 runs: within lines, and joined over single line breaks with indentation.
 
@@ -300,8 +323,14 @@ def _children(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
     if "\\" in layer.text and (new := unescape(layer, UNICODE, _from_unicode)):
         yield new, False
     for run, start, end in base64_runs(layer.text):
-        for inner, cut in _unpack(run, limit):
-            yield Layer(inner, [0], [layer.origin(start, end)], [False]), cut
+        for shift in _shifted(run) if end - start == len(run) else (0,):
+            if shift > 3 and not _packed_head(run, shift):
+                continue  # what is not compressed is read from one of the first four places anyway
+            origin = layer.origin(start + shift, end)
+            for inner, cut in _unpack(run[shift:], limit):
+                yield Layer(inner, [0], [origin], [False]), cut
+                for wide in _as_utf16(inner):
+                    yield Layer(wide, [0], [origin], [False]), cut
 
 
 def spans_text(spans: list) -> str:
