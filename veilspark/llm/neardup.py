@@ -288,14 +288,15 @@ def drop_near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int
     Of rows that repeat an id one stays. Only ids are joined to the rows; the few that are dropped are broadcast where
     Spark finds their table small.
     """
-    gone = near_duplicates(df, width, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    out = df.join(common.materialize(gone.distinct(), "dropped"), df[id_col] == F.col("__dropped"), "left_anti")
-    again = df.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1 and __again is not null").select("__again")
-    again = common.materialize(again, "repeated")
-    if again.isEmpty():
+    dropped, again, n = common.spare_names(df, "__dropped", "__again", "__n")
+    gone = near_duplicates(df, width, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(dropped))
+    out = df.join(common.materialize(gone.distinct(), "dropped"), df[id_col] == F.col(dropped), "left_anti")
+    twice = df.groupBy(F.col(id_col).alias(again)).agg(F.count("*").alias(n)).filter((F.col(n) > 1) & F.col(again).isNotNull()).select(again)
+    twice = common.materialize(twice, "repeated")
+    if twice.isEmpty():
         return out
-    known = out[id_col] == F.col("__again")
-    return out.join(again, known, "left_anti").union(out.join(again, known, "left_semi").dropDuplicates([id_col]))
+    known = out[id_col] == F.col(again)
+    return out.join(twice, known, "left_anti").union(out.join(twice, known, "left_semi").dropDuplicates([id_col]))
 
 
 def _brief(classes: DataFrame) -> DataFrame:
