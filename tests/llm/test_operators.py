@@ -117,6 +117,19 @@ def test_secret_wrapped_base64():
     assert not secrets.scan_text("a_long_identifier_here\nand another\n" * 3)[1]
 
 
+def test_secret_layers_beside_other_letters():
+    import base64
+    import gzip
+
+    plain = b"user=me password=hunter2hunter2 end"
+    for data in (plain, gzip.compress(plain), plain.decode().encode("utf-16-le"), plain.decode().encode("utf-16-be")):
+        run = base64.b64encode(data).decode().rstrip("=")
+        for before in ("https://h/d/", "x", "xy/", "abc", "see "):
+            text = before + run + " z"
+            assert any(k == 0 and s <= len(before) and e == len(before) + len(run) for s, k, e in secrets.scan_text(text)[1]), (before, data[:4])
+            assert "[assign]" in secrets.mask_text(text)
+
+
 def test_secret_layers_that_are_not_text():
     import base64
     import gzip
@@ -362,6 +375,11 @@ def test_repeats_column_wise():
         want = brute_repeats(list(enumerate(texts)), 4)
         masks = repeats.column_wise(texts, 4)
         assert [int(m.sum()) for m in masks] == [w[2] for w in want]
+    words = [bytes(rng.randrange(256) for _ in range(70)) for _ in range(12)]
+    texts = [b"".join(rng.choices(words, k=rng.randint(0, 9))) + bytes(rng.randrange(256) for _ in range(rng.randint(0, 90))) for _ in range(15)] + [b"z" * 400, b"", b"z" * 49, b"z" * 300]
+    want = brute_repeats(list(enumerate(texts)), 50)
+    for stride in (1, 7, 99):
+        assert [int(m.sum()) for m in repeats.column_wise(texts, 50, stride)] == [w[2] for w in want]
 
 
 def test_lm_base(spark, docs):
