@@ -285,6 +285,28 @@ def test_neardup(spark, docs):
     assert kept.columns == ["doc_id", "text", "tile", "family", "kept"]
 
 
+@pytest.mark.parametrize("left", ["none", "some"])
+def test_neardup_large_groups(spark, monkeypatch, left):
+    """Groups over a tile: near copies of one text, and with "some" a second cluster in the same family by a bridge."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "LARGE_TILE", 16)
+    monkeypatch.setattr(neardup, "TILE_BYTES", 4000)
+    monkeypatch.setattr(neardup, "LARGE_BYTES", 8000)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :])) for i, p in enumerate(rng.choices(range(120), k=60))]
+    if left == "some":
+        for n in range(40):  # a chain that drifts away from the first text, step by step
+            words = list(base)
+            for k in range(n):
+                words[3 * k % 120] = f"y{k}"
+            rows.append((1000 + n, " ".join(words)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id == r.doc_id, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 5, 80, 100).collect()}
+    want = brute_components(rows, 5, 80, 100)
+    assert {i: got[i][2] for i in got} == {i: want[i][1] for i, _ in rows}
+
+
 def test_neardup_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None)], "doc_id long, text string")
     assert rows_of(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted([(None, 1, None, True)] * 2 + [(1, 0, 1, True)], key=str)

@@ -9,11 +9,13 @@ Documents with equal sets form one class and enter the tables once. The classes
 where their sketches don't rule the threshold out (six standard deviations below it); the components of these links
 are families, and linked documents that share a bucket are in one family. Within a family the full sets decide: all
 intersections of one set with the others come from one count over the family's postings, and only links that join
-something are passed on, so a family of n hands on less than n links. Buckets and families beyond a tile's size are cut
-into tiles of which every two meet in one task. No candidate is dropped for the size of its bucket or family.
+something are passed on, so a family of n hands on less than n links. Buckets and families beyond a tile's size are
+dealt over tasks and held against their representative; only what isn't linked with that meets all others, in tiles. No
+candidate is dropped for the size of its bucket or family.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows of a doc_id with the same text
-are one class; a row without an id is linked with nothing and kept. An empty table gives no rows. Columns other than
+are one class; rows of one doc_id with different texts are classes of their own with one id, and links of either hold
+for both. A row without an id is linked with nothing and kept. An empty table gives no rows. Columns other than
 the id and the text are not read, and pass through `drop_near_duplicates`.
 """
 
@@ -33,8 +35,9 @@ from .graph import components
 from .shingles import WordHash, mix, shingle_set, words_of
 
 HALF = 3
-TILE = 4096
-TILE_BYTES = 16 << 20
+#: Up to what a group is met in one task, and the size of tiles in which the rest of larger ones meet.
+TILE, LARGE_TILE = 1024, 4096
+TILE_BYTES, LARGE_BYTES = 1 << 20, 16 << 20
 FILTER_BITS = 21
 
 
@@ -148,24 +151,58 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
 
 
-def _tiled(rows: DataFrame, group: str, tiles: DataFrame, data: list[str]) -> DataFrame:
-    """Rows once for each tile theirs meets: group, t0 <= t1, tile, id and data, gathered by the first three.
+class _Sketches:
+    """Rows of one byte per minhash; agreement in enough places."""
+
+    def __init__(self, level: float):
+        self.level = level
+
+    def load(self, data: list[bytes]) -> None:
+        self.rows = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+        width = self.rows.shape[1]
+        self.floor = (self.level - 6 * math.sqrt(self.level * (1 - self.level) / width)) * width
+
+    def hits(self, i: int, at: np.ndarray) -> np.ndarray:
+        return at[(self.rows[at] == self.rows[i]).sum(axis=1) >= self.floor]
+
+
+class _FullSets:
+    """Sets of hashes; all intersections of one with the others come from one count over the postings of its items."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def load(self, data: list[bytes]) -> None:
+        self.sizes = np.array([len(x) // 8 for x in data])
+        _, self.item = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True)
+        owner = np.repeat(np.arange(len(data)), self.sizes)
+        self.posting = owner[np.argsort(self.item, kind="stable")]
+        self.ends = np.cumsum(np.bincount(self.item))
+        self.starts = self.ends - np.diff(self.ends, prepend=0)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def hits(self, i: int, at: np.ndarray) -> np.ndarray:
+        mine = self.item[self.first[i] : self.first[i] + self.sizes[i]]
+        count = self.ends[mine] - self.starts[mine]
+        place = np.repeat(self.starts[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(self.posting[place], minlength=len(self.sizes))[at]
+        return at[self.den * shared >= self.num * (self.sizes[i] + self.sizes[at] - shared)]
 
-    tiles: (group, tiles), the number of tiles of each group; groups of one tile are not repeated.
-    """
-    rows = rows.join(tiles, group).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.select(group, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"), "tile", "id", *data)
-    rows = rows.select(group, F.least("tile", "with").alias("t0"), F.greatest("tile", "with").alias("t1"), "tile", "id", *data)
-    return rows.repartition(group, "t0", "t1").sortWithinPartitions(group, "t0", "t1")
 
+def _forest(n: int, hits, leading: int | None = None) -> list[tuple[int, int]]:
+    """Links i-j that join something new, where hits(i, open) gives the partners of i among the open ones.
 
-def _forest(n: int, hits) -> list[tuple[int, int]]:
-    """Links i-j that join something new, where hits(i, open) gives the partners of i among the open ones."""
+    With leading, only the first so many rows look for partners, and only among the others.
+    """
     part, out = np.arange(n), []
-    for i in range(n - 1):
+    for i in range(n - 1 if leading is None else leading):
         other = part != part[i]
+        if leading is not None:
+            other[:leading] = False
         if not other.any():
-            break
+            if leading is None:
+                break
+            continue
         for j in hits(i, np.flatnonzero(other)).tolist():
             if part[j] != part[i]:
                 out.append((i, j))
@@ -177,55 +214,78 @@ def _links(pairs: list[tuple[int, int]], ids: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _provisional(buckets: DataFrame, classes: DataFrame, level: float) -> DataFrame:
-    """(a, b) links of classes in one bucket whose sketches agree in enough places, a forest of each bucket's."""
-    brief = classes.select("id", "brief")
-    tiles = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, t0, t1), rows in _groups(batches, 3):
-            tile = np.array([r[0] for r in rows])
-            sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            floor = (level - 6 * math.sqrt(level * (1 - level) / sketch.shape[1])) * sketch.shape[1]
+def _group_links(rows: DataFrame, group: str, data: str, weight, test, limit: int, large: int) -> DataFrame:
+    """(a, b) links between rows (group, id, data) of one group that pass the test, a forest of each task's.
 
-            def hits(i: int, at: np.ndarray, tile=tile, sketch=sketch, floor=floor, cross=t0 != t1) -> np.ndarray:
-                if cross:
-                    at = at[tile[at] != tile[i]]
-                return at[(sketch[at] == sketch[i]).sum(axis=1) >= floor]
+    A group of at most `limit` by weight is met in one task. A larger one is dealt over tiles: every row is held against
+    the group's representative first, which most of a group of near copies are linked with. Only what isn't is then held
+    against all of its group, in tiles of `large`. No pair is left out: what is linked with the representative needs no
+    other link to it, and the rest meet everyone.
+    """
+    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / limit)).cast("int").alias("tiles"), F.min("id").alias("rep"))
+    sizes = common.materialize(sizes, "sizes")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in _groups(batches, 1):
+            test.load([r[1] for r in some])
+            if pairs := _forest(len(some), test.hits):
+                yield _links(pairs, [r[0] for r in some])
+
+    small = rows.join(sizes.filter("tiles = 1").select(group), group).select(group, "id", data)
+    out = small.repartition(group).sortWithinPartitions(group).mapInArrow(alone, "a long, b long")
+    big = sizes.filter("tiles > 1")
+    if big.isEmpty():
+        return out.distinct()
+    dealt = rows.join(big, group).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    heads = dealt.filter("id = rep").select(group, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(0).alias("turn"), "id", "rep", "tiles", data)
+    both = heads.unionByName(dealt.filter("id <> rep").select(group, "tile", F.lit(1).alias("turn"), "id", "rep", "tiles", data))
+
+    def against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _), some in _groups(batches, 2):
+            head, rest = some[0], some[1:]  # the representative comes first
+            for at in range(0, len(rest), 2000):
+                part = rest[at : at + 2000]
+                test.load([head[4], *(r[4] for r in part)])
+                near = np.zeros(len(part) + 1, bool)
+                near[test.hits(0, np.arange(1, len(part) + 1))] = True
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), *(pa.array([r[k] for r in part], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))), pa.array(near[1:])], [group, "id", "rep", "tiles", "near"])
+
+    held = both.repartition(group, "tile").sortWithinPartitions(group, "tile", "turn").mapInArrow(against_head, f"{group} long, id long, rep long, tiles int, near boolean")
+    held = common.materialize(held, "held")
+    out = out.union(held.filter("near").select("rep", "id"))
+    left = held.filter("not near").select(group, "id", "tiles")
+    if left.isEmpty():
+        return out.distinct()
+    wide = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) * limit / large)).cast("int")
+    left = left.join(rows.select(group, "id", data), [group, "id"])
+    of_left = left.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / large)).cast("int").alias("left_tiles"))
+    others = dealt.join(of_left, group).withColumn("there", F.pmod(F.xxhash64("id"), wide("tiles")).cast("int"))
+    others = others.select(group, F.explode(F.sequence(F.lit(0), F.col("left_tiles") - 1)).alias("here"), "there", F.lit(1).alias("turn"), "id", data)
+    looking = left.join(of_left, group).withColumn("here", F.pmod(F.xxhash64("id", F.lit(1)), F.col("left_tiles")).cast("int"))
+    looking = looking.select(group, "here", F.explode(F.sequence(F.lit(0), wide("tiles") - 1)).alias("there"), F.lit(0).alias("turn"), "id", data)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in _groups(batches, 3):
+            leading = sum(r[0] == 0 for r in some)
+            ids = [r[1] for r in some]
+            if leading < len(some):
+                test.load([r[2] for r in some])
+                if pairs := [(i, j) for i, j in _forest(len(some), test.hits, leading) if ids[i] != ids[j]]:
+                    yield _links(pairs, ids)
+
+    met = looking.unionByName(others).repartition(group, "here", "there").sortWithinPartitions(group, "here", "there", "turn").mapInArrow(meet, "a long, b long")
+    return out.union(met).distinct()
 
-            if pairs := _forest(len(rows), hits):
-                yield _links(pairs, [r[1] for r in rows])
 
-    return _tiled(buckets.join(brief, "id"), "key", tiles, ["brief"]).mapInArrow(run, "a long, b long").distinct()
+def _provisional(buckets: DataFrame, classes: DataFrame, level: float) -> DataFrame:
+    """(a, b) links of classes in one bucket whose sketches agree in enough places."""
+    rows = buckets.join(classes.select("id", "brief"), "id").select("key", "id", "brief")
+    return _group_links(rows, "key", "brief", F.lit(1), _Sketches(level), TILE, LARGE_TILE)
 
 
 def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links of one family with den * intersection >= num * union on full sets, a forest of each tile's."""
-    tiles = sets.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("items")) / TILE_BYTES)).cast("int").alias("tiles"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, t0, t1), rows in _groups(batches, 3):
-            tile = np.array([r[0] for r in rows])
-            sizes = np.array([len(r[2]) // 8 for r in rows])
-            _, item = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), return_inverse=True)
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            order = np.argsort(item, kind="stable")
-            posting, ends = owner[order], np.cumsum(np.bincount(item))
-            starts = ends - np.diff(ends, prepend=0)
-            first = np.cumsum(sizes) - sizes
-
-            def hits(i: int, at: np.ndarray, tile=tile, sizes=sizes, item=item, posting=posting, starts=starts, ends=ends, first=first, cross=t0 != t1) -> np.ndarray:
-                mine = item[first[i] : first[i] + sizes[i]]
-                count = ends[mine] - starts[mine]
-                place = np.repeat(starts[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                shared = np.bincount(posting[place], minlength=len(sizes))[at]
-                ok = den * shared >= num * (sizes[i] + sizes[at] - shared)
-                return at[ok & (tile[at] != tile[i])] if cross else at[ok]
-
-            if pairs := _forest(len(rows), hits):
-                yield _links(pairs, [r[1] for r in rows])
-
-    return _tiled(sets, "family", tiles, ["items"]).mapInArrow(run, "a long, b long").distinct()
+    """(a, b) links of one family with den * intersection >= num * union on full sets."""
+    return _group_links(sets, "family", "items", F.octet_length("items"), _FullSets(num, den), TILE_BYTES, LARGE_BYTES)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
