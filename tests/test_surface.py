@@ -171,6 +171,30 @@ def test_custom_detectors_policies_and_formats(spark):
         RedactorBuilder().replacement("{n}")
 
 
+COMMENTS = [
+    ("json", '{"a": "x", // SECRET\n "u": "http://h//SECRET2" /* SECRET */}', 2), ("yaml", "a: x # SECRET\n# SECRET\nb: 'no # SECRET2'\n", 2), ("toml", '# SECRET\na = "x # SECRET2" # SECRET\n', 2), ("hcl", '# SECRET\na = "x" // SECRET\n/* SECRET */\n', 3),
+    ("ini", "; SECRET\n[s]\n# SECRET\nk = v\n", 2), ("dotenv", "# SECRET\nA=b\n", 1), ("properties", "# SECRET\n! SECRET\na=b\n", 2), ("xml", "<a><!-- SECRET --><b>x</b></a>", 1), ("csv", "a\n# x\n", 0), ("text", "# SECRET", 0),
+]
+
+
+@pytest.mark.parametrize("name,body,n", COMMENTS)
+def test_comments_are_leaves(name, body, n):
+    data = body.replace("SECRET", SECRET).encode()
+    _, found, _ = formats.parse(data, name=name, comments=True)
+    mine = [x for x in found if x.comment]
+    assert len(mine) == n and all(SECRET in x.value and SECRET + "2" not in x.value for x in mine)
+    assert not any(x.comment for x in formats.parse(data, name=name)[1])
+    edits = {i: [(x.value.encode().index(SECRET.encode()), x.value.encode().index(SECRET.encode()) + len(SECRET), "[REDACTED-1]")] for i, x in enumerate(found) if x.comment}
+    assert formats.rewrite(data, name, found, edits).decode().count("[REDACTED-1]") == n
+
+
+def test_chosen_formats(spark):
+    body = b'{"token": "' + SECRET.encode() + b'"}'
+    assert RedactorBuilder().detector("entropy").build().redact(spark, body, path="a.json").format == "text"
+    assert RedactorBuilder().detector("entropy").format("json").build().redact(spark, body).format == "json"
+    assert formats.choose(body, None, ("yaml",)) == "text" and formats.choose(b"", "a.yml", ("json",)) == "text"
+
+
 def test_api(spark):
     r = Redactor.builder().allow_paths(["keep"]).build()
     body = json.dumps({"keep": SECRET + "k", "x": f"{SECRET} {SECRET}", "y": KEY}).encode()

@@ -183,7 +183,8 @@ class RedactorBuilder:
             raise ReplacementError(str(x) or "replacement: it is empty") from None
 
     def build(self) -> Redactor:
-        return Redactor(self._detectors, self._options, self._formats or ("text",))
+        known = self._formats or ("text",)
+        return Redactor(self._detectors, replace(self._options, formats=known), known)
 
 
 def document_detector(name: str, find) -> Detector:

@@ -321,7 +321,7 @@ class Config:
         return builder
 
     def options(self) -> Options:
-        return Options(self.template, self.comments, self.leaf_policy, None, tuple(self.allow["paths"]), self.allowed_file_paths(), self.allowed_files(), tuple(self.allow["within"]), self.allow_rules())
+        return Options(self.template, self.comments, self.leaf_policy, None, tuple(f for f in self.formats if f in formats.FORMATS and formats.usable(f)), tuple(self.allow["paths"]), self.allowed_file_paths(), self.allowed_files(), tuple(self.allow["within"]), self.allow_rules())
 
 
 def _strict_loader():

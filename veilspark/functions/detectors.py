@@ -61,10 +61,12 @@ def unquote(value: Column) -> Column:
 
 def entropy(text: Column, key: Column | None = None, threshold: float = 4.5, sensitive_threshold: float = 3.5, min_length: int = 10, hex_lengths: Iterable[int] = P.HEX_LENGTHS, segments: Iterable[str] = P.SENSITIVE_SEGMENTS, structural: Iterable[str] = P.STRUCTURAL_KEYS) -> Column:
     """Tokens above the threshold; under a sensitive key the lower one holds, and hex digests count whatever theirs is."""
-    pattern = f"{P.ENTROPY_TOKEN}{{{min_length},}}"
     if key is None:
-        least = math.ceil(2 ** (threshold - 1e-9))  # n characters hold log2(n) bits at most
-        return find(text, pattern, "entropy", lambda m: (F.length(m) >= least) & (entropy_bits(m) > threshold))
+        if threshold >= math.log2(66):  # more than the alphabet of tokens can hold
+            return none()
+        least = max(min_length, math.ceil(2 ** (threshold - 1e-9)))  # n characters hold log2(n) bits at most
+        return find(text, f"{P.ENTROPY_TOKEN}{{{least},}}", "entropy", lambda m: entropy_bits(m) > threshold)
+    pattern = f"{P.ENTROPY_TOKEN}{{{min_length},}}"
     sensitive = is_sensitive_key(key, segments, structural)
     digest = lambda m: m.rlike(r"\A[0-9A-Fa-f]+\z") & F.length(m).isin(*hex_lengths)
     return find(text, pattern, "entropy", lambda m: (entropy_bits(m) > F.when(sensitive, sensitive_threshold).otherwise(threshold)) | (sensitive & digest(m)))

@@ -67,6 +67,7 @@ class Options:
     comments: bool = False
     policy: formats.Policy = field(default_factory=formats.Policy)
     format: str | None = None
+    formats: tuple[str, ...] | None = None  # those to choose from; None for all
     allow_paths: tuple[str, ...] = ()
     file_paths: FileKeyPaths = field(default_factory=FileKeyPaths)
     files: FileGlobs = field(default_factory=FileGlobs)
@@ -88,7 +89,7 @@ def parsed(docs: DataFrame, options: Options | None = None) -> DataFrame:
     spared = any_of(map(glob, options.allow_paths))
 
     def leaves_of(data: bytes, path: str | None) -> tuple[str, list[dict], str | None]:
-        name, found, warning = formats.parse(data, path, options.format, options.comments)
+        name, found, warning = formats.parse(data, path, options.format, options.comments, options.formats)
         here = [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]]
         rows = []
         for i, x in enumerate(found):

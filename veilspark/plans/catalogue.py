@@ -395,14 +395,16 @@ def rule_filters(spark, sf_dir):
     return _ruled(spark, sf_dir, "filter")
 
 
-@query(f"""WITH f AS ({G.credential_spans()}) SELECT p AS path, count(*) AS count, list(label ORDER BY doc_id, "start") AS labels, p = 'd3.txt' AS protected FROM (SELECT 'd' || (doc_id % 7) || '.txt' AS p, * FROM f WHERE doc_id BETWEEN 1 AND 7) GROUP BY p""")
+_AT = "'d' || CAST({id} % 7 AS STRING) || '/' || CAST({id} AS STRING) || '.txt'"
+
+
+@query(f"""SELECT path, count(*) AS count, list(label ORDER BY "start") AS labels, starts_with(path, 'd3/') AS protected FROM (SELECT {_AT.format(id='doc_id')} AS path, * FROM ({G.credential_spans()})) GROUP BY path""")
 def scan_files(spark, sf_dir):
-    """What a scan reports of seven files, one of them protected."""
+    """What a scan reports of a file for each customer, of which one folder is protected."""
     from ..functions.globs import FileGlobs
 
-    texts = G.credentials(spark, sf_dir).filter("doc_id BETWEEN 1 AND 7")
-    docs = texts.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("doc_id"), F.lit("d.txt").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    report = scan.scanned(documents.redact_all(docs), FileGlobs(("d3.*",)))
+    docs = G.credentials(spark, sf_dir).select(F.expr(_AT.format(id="doc_id")).alias("doc_id"), F.lit("d.txt").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    report = scan.scanned(documents.redact_all(docs), FileGlobs(("d3/",)))
     return report.select("path", "count", F.col("detectors").alias("labels"), "protected")
 
 

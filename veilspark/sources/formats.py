@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -256,8 +257,28 @@ def dsv_leaves(delimiter: str) -> Callable[..., Iterator[Leaf]]:
     return leaves
 
 
+def _yaml_comments(text: str) -> Iterator[Leaf]:
+    """What follows a `#` at a line's start or behind white space, outside scalars."""
+    import yaml
+
+    scalars = [(t.start_mark.index, t.end_mark.index) for t in yaml.scan(text, Loader=yaml.SafeLoader) if isinstance(t, yaml.ScalarToken)]
+    starts = [a for a, _ in scalars]
+    for m in re.finditer(r"(?<![^\s])#[^\n]*", text):
+        i = bisect_right(starts, m.start()) - 1
+        if i < 0 or m.start() >= scalars[i][1]:
+            body = m[0].rstrip("\r")
+            yield Leaf(body, None, "", m.start(), m.start() + len(body), "raw", (), True)
+
+
 def yaml_leaves(text: str, comments: bool = False) -> Iterator[Leaf]:
     """Every scalar as it stands, by the event marks of the YAML library; aliases are passed over."""
+    if not comments:
+        return _yaml_values(text)
+    values = list(_yaml_values(text))
+    return iter(sorted([*values, *_yaml_comments(text)], key=lambda x: x.start))
+
+
+def _yaml_values(text: str) -> Iterator[Leaf]:
     import yaml
 
     stack: list[dict] = []
@@ -555,13 +576,14 @@ def register(fmt: Format) -> None:
     FORMATS[fmt.name] = fmt
 
 
-def choose(data: bytes, path: str | None = None) -> str:
-    """Format by file name, then extension, then content; else text."""
+def choose(data: bytes, path: str | None = None, among: tuple[str, ...] | None = None) -> str:
+    """Format by file name, then extension, then content; else text. With `among`, only those, content in their order."""
     name = (path or "").rsplit("/", 1)[-1].lower()
+    known = list(FORMATS.values()) if among is None else [FORMATS[n] for n in among if n in FORMATS]
     for by in (lambda f: name in f.names, lambda f: f.name == "dotenv" and name.startswith(".env."), lambda f: "." in name and name.rsplit(".", 1)[-1] in f.extensions):
-        if name and (hit := [f.name for f in FORMATS.values() if by(f)]):
+        if name and (hit := [f.name for f in known if by(f)]):
             return hit[-1]
-    return next((f.name for f in FORMATS.values() if f.sniff(data)), "text")
+    return next((f.name for f in known if f.sniff(data)), "text")
 
 
 def _surround(leaves: list[Leaf]) -> None:
@@ -575,11 +597,11 @@ def _surround(leaves: list[Leaf]) -> None:
         leaf.around = tuple(objects.setdefault(names[:i], Keys()) for i in range(len(names)))
 
 
-def parse(data: bytes, path: str | None = None, name: str | None = None, comments: bool = False) -> tuple[str, list[Leaf], str | None]:
+def parse(data: bytes, path: str | None = None, name: str | None = None, comments: bool = False, among: tuple[str, ...] | None = None) -> tuple[str, list[Leaf], str | None]:
     """(format, leaves, warning). A format that was only guessed falls back to text; a named one fails."""
     if name and name not in FORMATS:
         raise FormatError(f"unknown format {name!r}; known are {', '.join(FORMATS)}")
-    chosen = name or choose(data, path)
+    chosen = name or choose(data, path, among)
     try:
         if chosen == "bplist":
             leaves = bplist_leaves(data)
