@@ -10,7 +10,8 @@ found at any depth is reported as the smallest span of the original that produce
 Every layer is scanned, also if it isn't text: bytes that aren't UTF-8 stand in it as lone surrogates.
 
 A null or empty text has no secrets. Ties are resolved by the output order (start, then kind as listed, then end);
-a span found at several depths is reported once. Repeated rows are scanned again. No text is cut: a packed layer
+a span found at several depths is reported once. Repeated rows are scanned again, an empty table gives no rows, and
+other columns are not read (`mask` passes them through, whatever their names). No text is cut: a packed layer
 is unpacked in full, all members of it, and one of more than `max_layer_bytes` (64 MiB) is scanned in overlapping
 pieces that don't cut encoded runs. Only a run inside such a layer that is longer than that by itself, or streams in
 streams of that size more than 16 deep, aren't read whole: n_oversize counts them, and mask() puts `[unread]` for them.
