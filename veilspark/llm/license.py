@@ -3,11 +3,12 @@
 The templates are a fixed list: short notices as they stand in headers, and whole licence texts. Each template is a
 sparse TF-IDF vector, with idf counted over the templates; a term that no template has weighs as one that a
 single template has, so foreign words pull a cosine down. A text is cut into statements (lines, and sentences
-within lines). Statements that hold a cue word, which every template holds, are compared with the notices, and a text
-that has such a statement is compared as a whole with the licence texts. The best match at or above its threshold
-is the text's own licence.
+within lines), which are compared with the notices. Most are ruled out before, by two bounds that no statement at the
+threshold fails: it holds one of the terms without which a notice keeps too little of its weight, and foreign terms take
+too little of its own. A text that holds a cue word, which every licence text does, is compared with those as a whole.
+The best match at or above its threshold is the text's own licence.
 
-A text with a cue word is also searched for standard headers and whole texts (STANDARD) at any
+Texts are also searched for standard headers and whole texts (STANDARD) at any
 place and in any wrapping: windows of a template's number of terms, an eighth of it apart, are compared with those
 templates whose phrase (name and version, or first words) they hold. The better score of the two searches counts, the
 first search's if they are equal. The SQL states the scan without this search.
@@ -23,7 +24,9 @@ rows of one id should have one text. An empty table gives no rows. Other columns
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +96,10 @@ PHRASES = {
 }
 
 
+#: Each phrase holds one of these.
+PHRASE_WORDS = "permission|general public|apache|redistribution and|neither the|creative commons|cc0|mozilla public|unencumbered"
+
+
 def _standard() -> list[tuple[str, str, str, str]]:
     whole = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
     rows = [(n, "header", b) for n, b in _HEADERS] + [(n, "file", b) for n, b in TEXTS + whole]
@@ -121,14 +128,61 @@ def template_vectors(spark: SparkSession, templates: list = TEMPLATES) -> DataFr
     return t.join(F.broadcast(norm), "template").select("template", "license", "kind", "term", "weight", "idf", "norm")
 
 
+def _weights() -> tuple[dict[str, float], float]:
+    """(idf of each template term, idf of any other)."""
+    df = Counter(t for *_, body in TEMPLATES for t in set(re.findall(TERM, body.lower())))
+    return {t: math.log((1 + len(TEMPLATES)) / (1 + n)) + 1 for t, n in df.items()}, math.log((1 + len(TEMPLATES)) / 2) + 1
+
+
+#: Words of the notices that many texts hold, and those that nearly all do; rarer ones are asked for first, but any order
+#: gives the same result.
+COMMON = frozenset("all been can code copyright file form found has may on or rights source under use used version will with work".split())
+EVERYWHERE = frozenset("a and are as be by in is of that the this to 2 3 v".split())
+
+
+def needed_terms(least: float = HEADER_LEAST) -> list[str]:
+    """Terms of which a statement must hold one to reach a cosine of `least` with a notice.
+
+    The cosine is at most the root of the share of the notice's squared weight that falls on common terms. So of each
+    notice the heaviest terms are taken until what is left is below that share; one of them must be there.
+    """
+    idf, _ = _weights()
+    out: set[str] = set()
+    for _, _, kind, body in TEMPLATES:
+        if kind == "header":
+            mass = {t: (n * idf[t]) ** 2 for t, n in Counter(re.findall(TERM, body.lower())).items()}
+            left, short = sum(mass.values()), least**2 * sum(mass.values()) * 0.999
+            for t in sorted(mass, key=lambda t: ((t in COMMON) + 2 * (t in EVERYWHERE), -mass[t], t)):
+                if left < short:
+                    break
+                out.add(t)
+                left -= mass[t]
+    return sorted(out)
+
+
+def _own_enough(terms: Column, least: float = HEADER_LEAST) -> Column:
+    """False only where foreign terms take so much of a statement's weight that no cosine reaches `least`.
+
+    At least the root of the number of distinct foreign terms times their weight is foreign, and the sum of the others'
+    weights, each time one occurs, is at least the length of their part.
+    """
+    idf, foreign = _weights()
+    weight = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
+    own = F.aggregate(terms, F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at(weight, t), F.lit(0.0)))
+    others = F.size(F.array_except(terms, F.array(*map(F.lit, idf))))
+    return others * F.lit((1 - least**2) * foreign**2) <= own * own * F.lit(least**2 * 1.001)
+
+
 def own_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, own_license, own_kind, own_score) of the (doc_id, text) rows that have a licence of their own."""
-    cue = "(?i)" + CUE
+    cue, needed = "(?i)" + CUE, "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed_terms())) + ")(?![a-z0-9])"
     t = template_vectors(docs.sparkSession)
-    statements = F.filter(F.split(F.regexp_replace("text", "([.!?;]) +", "$1\n"), "\n", -1), lambda s: s.rlike(cue))
-    whole = F.struct(F.lit(-1).alias("pos"), F.lit("file").alias("kind"), F.col("text").alias("part"))
-    each = F.transform(statements, lambda s, i: F.struct(i.alias("pos"), F.lit("header").alias("kind"), s.alias("part")))
-    parts = docs.filter(F.col("text").rlike(cue)).select("doc_id", F.explode(F.concat(each, F.array(whole))).alias("p")).select("doc_id", "p.pos", "p.kind", F.explode(_terms(F.col("p.part"))).alias("term"))
+    statements = F.filter(F.split(F.regexp_replace("text", "([.!?;]) +", "$1\n"), "\n", -1), lambda s: s.rlike(needed))
+    each = F.transform(statements, lambda s, i: F.struct(i.alias("pos"), F.lit("header").alias("kind"), _terms(s).alias("terms")))
+    whole = F.when(F.col("text").rlike(cue), F.array(F.struct(F.lit(-1).alias("pos"), F.lit("file").alias("kind"), _terms(F.col("text")).alias("terms"))))
+    none = F.array().cast("array<struct<pos:int,kind:string,terms:array<string>>>")
+    parts = docs.filter(F.col("text").rlike(needed)).select("doc_id", F.filter(each, lambda p: _own_enough(p["terms"])).alias("parts"))
+    parts = parts.unionByName(docs.select("doc_id", F.coalesce(whole, none).alias("parts"))).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.pos", "p.kind", F.explode("p.terms").alias("term"))
     tf = parts.groupBy("doc_id", "pos", "kind", "term").agg(F.count("*").alias("tf"))
     unseen = F.log(F.lit(1.0 + len(TEMPLATES)) / 2) + 1
     idf = t.select("term", "idf").distinct()
@@ -148,7 +202,7 @@ def standard_licenses(docs: DataFrame) -> DataFrame:
     t = template_vectors(docs.sparkSession, STANDARD)
     count = lambda body: len(re.findall(TERM, body.lower()))
     shapes = F.explode(F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(kind).alias("form"), F.lit(count(body)).alias("length"), F.lit(PHRASES[name]).alias("phrase")) for i, name, kind, body in STANDARD]))
-    d = docs.filter(F.col("text").rlike("(?i)" + CUE)).select("doc_id", _terms(F.col("text")).alias("terms"))
+    d = docs.filter(F.col("text").rlike("(?i)" + PHRASE_WORDS)).select("doc_id", _terms(F.col("text")).alias("terms"))
     d = d.filter(F.array_join("terms", " ").rlike("|".join(sorted(set(PHRASES.values()))))).select("doc_id", "terms", shapes.alias("s")).select("doc_id", "terms", "s.*")
     d = d.filter(F.rlike(F.array_join("terms", " "), F.col("phrase")))
     last = F.greatest(F.size("terms") - F.col("length"), F.lit(0))
@@ -213,10 +267,9 @@ idf AS (SELECT term, ln({1.0 + len(TEMPLATES)} / (1 + count(*))) + 1 AS idf FROM
 tw AS (SELECT template, license, kind, term, tf * idf AS weight FROM ttf JOIN idf USING (term)),
 norms AS (SELECT template, sqrt(sum(weight * weight)) AS norm FROM tw GROUP BY template),
 docs AS (SELECT doc_id, {path_sql} AS path, coalesce(text, '') AS text FROM {table}),
-cued AS (SELECT doc_id, text FROM docs WHERE regexp_matches(text, '(?i){CUE}')),
 parts AS (
-  SELECT doc_id, 'header' AS kind, i AS pos, s[i + 1] AS part FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, [x FOR x IN string_split(regexp_replace(text, '([.!?;]) +', '\\1' || chr(10), 'g'), chr(10)) IF regexp_matches(x, '(?i){CUE}')] AS s FROM cued))
-  UNION ALL SELECT doc_id, 'file', -1, text FROM cued),
+  SELECT doc_id, 'header' AS kind, i AS pos, s[i + 1] AS part FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?;]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM docs))
+  UNION ALL SELECT doc_id, 'file', -1, text FROM docs WHERE regexp_matches(text, '(?i){CUE}')),
 tf AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all({lower('part')}, '{TERM}')) AS term FROM parts) GROUP BY ALL),
 w AS (SELECT tf.*, tf * coalesce(idf, ln({1.0 + len(TEMPLATES)} / 2) + 1) AS w FROM tf LEFT JOIN idf USING (term)),
 sizes AS (SELECT doc_id, kind, pos, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL),
