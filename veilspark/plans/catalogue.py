@@ -415,3 +415,6 @@ def token_windows(spark, sf_dir):
 
     lengths = _read(spark, sf_dir).filter("text is not null").select((F.length("text") % 50 + 11).alias("n")).distinct()
     return lengths.select("n", F.posexplode(windows_column(F.col("n"), 10, 2)).alias("w", "x")).select("n", "w", "x.*")
+
+
+from . import surface  # noqa: E402, F401
