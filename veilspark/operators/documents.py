@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +100,32 @@ def parsed(docs: DataFrame, options: Options | None = None) -> DataFrame:
         return name, rows, warning
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                name, rows, warning = leaves_of(one.column(2)[0].as_py() or b"", one.column(1)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([name]), pa.array([warning], pa.string()), pa.array([rows], pa.list_(_LEAF))], ["doc_id", "path", "content", "format", "warning", "leaves"])
+        for part in _parts(batches):
+            names, warnings, every = [], [], []
+            for path, data in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                name, rows, warning = leaves_of(data or b"", path)
+                names.append(name)
+                warnings.append(warning)
+                every.append(rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(warnings, pa.string()), pa.array(every, pa.list_(_LEAF))], ["doc_id", "path", "content", "format", "warning", "leaves"])
 
     base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
     return base.mapInArrow(run, f"doc_id string, path string, content binary, format string, warning string, leaves array<{LEAF}>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with contents (the third column) of at most limit bytes, or of one document."""
+    for batch in batches:
+        start = size = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
+            if size + n > limit and i > start:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def _path_spared(path: str, pattern: re.Pattern) -> bool:
     """Whether the path, or that of something it lies in, is spared."""
     parts = path.split(".")
@@ -254,12 +271,14 @@ def redact_all(docs: DataFrame, names: Iterable[str | Detector] = (*D.DEFAULT, "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document = _Document(options, detectors)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, path, data, name, warning, some, native = (c[i].as_py() for c in batch.columns)
+        for part in _parts(batches):
+            contents, every = [], []
+            for _, path, data, name, _, some, native in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 content, found = document.finish(path, data or b"", name, some, native)
-                columns = [pa.array([doc], pa.string()), pa.array([path], pa.string()), pa.array([name]), pa.array([content], pa.binary()), pa.array([warning], pa.string()), pa.array([found], pa.list_(_FINDING))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "format", "content", "warning", "findings"])
+                contents.append(content)
+                every.append(found)
+            doc, path, _, name, warning, *_ = part.columns
+            yield pa.RecordBatch.from_arrays([doc, path, name, pa.array(contents, pa.binary()), warning, pa.array(every, pa.list_(_FINDING))], ["doc_id", "path", "format", "content", "warning", "findings"])
 
     return rows.mapInArrow(run, f"doc_id string, path string, format string, content binary, warning string, findings array<{FINDING}>")
 
