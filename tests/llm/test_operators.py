@@ -292,6 +292,7 @@ def test_neardup_large_groups(spark, monkeypatch, left):
     monkeypatch.setattr(neardup, "LARGE_TILE", 16)
     monkeypatch.setattr(neardup, "TILE_BYTES", 4000)
     monkeypatch.setattr(neardup, "LARGE_BYTES", 8000)
+    monkeypatch.setattr(neardup, "ROW_BYTES", 0)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :])) for i, p in enumerate(rng.choices(range(120), k=60))]

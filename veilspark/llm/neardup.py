@@ -37,7 +37,7 @@ from .shingles import WordHash, mix, shingle_set, words_of
 HALF = 3
 #: Up to what a group is met in one task, and the size of tiles in which the rest of larger ones meet.
 TILE, LARGE_TILE = 1024, 4096
-TILE_BYTES, LARGE_BYTES = 1 << 20, 16 << 20
+TILE_BYTES, LARGE_BYTES, ROW_BYTES = 1 << 20, 16 << 20, 2048
 FILTER_BITS = 21
 
 
@@ -285,7 +285,8 @@ def _provisional(buckets: DataFrame, classes: DataFrame, level: float) -> DataFr
 
 def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links of one family with den * intersection >= num * union on full sets."""
-    return _group_links(sets, "family", "items", F.octet_length("items"), _FullSets(num, den), TILE_BYTES, LARGE_BYTES)
+    weight = F.octet_length("items") + F.lit(ROW_BYTES)  # many small sets are as much work as few large ones
+    return _group_links(sets, "family", "items", weight, _FullSets(num, den), TILE_BYTES, LARGE_BYTES)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
