@@ -72,18 +72,17 @@ def _walk(symbols: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def table_keys(symbols: np.ndarray, tables: int) -> np.ndarray:
-    """(n, tables) keys: SAMPLED positions of an embedding each, PER_WALK tables to a walk."""
+def table_keys(symbols: np.ndarray, tables: int, first: int = 0) -> np.ndarray:
+    """(n, tables - first) keys: SAMPLED positions of an embedding each, PER_WALK tables to a walk."""
     n, w = symbols.shape
-    rng = np.random.default_rng(w)
-    out = np.empty((n, tables), np.uint64)
-    for t in range(tables):
-        if t % PER_WALK == 0:
+    out = np.empty((n, tables - first), np.uint64)
+    for t in range(first, tables):
+        if t == first or t % PER_WALK == 0:
             embedded = _walk(symbols, t // PER_WALK)
         key = np.full(n, t + 1, np.uint64)
-        for p in rng.integers(0, embedded.shape[1], SAMPLED):
+        for p in np.random.default_rng((w, t)).integers(0, embedded.shape[1], SAMPLED):
             key = mix(key + embedded[:, p])
-        out[:, t] = key
+        out[:, t - first] = key
     return out
 
 
@@ -101,18 +100,20 @@ def edited(words: list[int], edits: int, rng: np.random.Generator) -> list[int]:
     return words
 
 
-def tables_for(items: list[np.ndarray], edits: int, recall: float, trials: int = 400) -> int:
+def tables_for(items: list[np.ndarray], edits: int, recall: float, trials: int = 1500) -> int:
     """Tables (a power of two) at which items of one size with `edits` random edits are found with the given rate; 0
     where MOST don't do."""
     w = len(items[0])
     rng = np.random.default_rng(w + 5)
     plain = [items[n % len(items)] for n in range(trials)]
     other = [(edited(x.tolist(), edits, rng) + rng.integers(1, 1 << 62, w).tolist())[:w] for x in plain]
-    tables = 16
+    a, b = np.array(plain, np.uint64), np.array(other, np.uint64)
+    met, known, tables = np.zeros(trials, bool), 0, 16
     while tables <= MOST:
-        if (table_keys(np.array(plain, np.uint64), tables) == table_keys(np.array(other, np.uint64), tables)).any(axis=1).mean() >= recall:
+        met |= (table_keys(a, tables, known) == table_keys(b, tables, known)).any(axis=1)
+        if met.mean() >= recall:
             return tables
-        tables *= 2
+        known, tables = tables, 2 * tables
     return 0
 
 
@@ -257,7 +258,7 @@ def plan_tables(rows: list[tuple[int, str]], rate: float, recall: float) -> dict
     return {w: tables_for(items, int(rate * w), recall) for w, items in sizes.items() if int(rate * w)}
 
 
-def search(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
+def search(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.998, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, distance, item_words, at_word) of each document and item with a window within rate."""
     docs = common.id_text(df, id_col, text_col)
     out = None
@@ -296,7 +297,7 @@ def _searcher(shared, rate: float):
     return run
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, text_col: str = "text", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.998, text_col: str = "text", item_text: str = "text", max_item_bytes: int = 8 << 20) -> DataFrame:
     """The rows of df whose text holds no item, with all their columns. One pass per block of items, no shuffle."""
     at = df.schema.fieldNames().index(text_col)
     schema = df.schema
