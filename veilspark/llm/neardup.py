@@ -256,13 +256,15 @@ def _group_links(rows: DataFrame, group: str, data: str, weight, test, limit: in
     left = held.filter("not near").select(group, "id", "tiles")
     if left.isEmpty():
         return out.distinct()
-    wide = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) * limit / large)).cast("int")
     left = left.join(rows.select(group, "id", data), [group, "id"])
-    of_left = left.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / large)).cast("int").alias("left_tiles"))
-    others = dealt.join(of_left, group).withColumn("there", F.pmod(F.xxhash64("id"), wide("tiles")).cast("int"))
+    of_left = left.groupBy(group, "tiles").agg(F.sum(weight).alias("size"))
+    # the group lies in tiles of `large`, or in smaller ones as long as the copies of what is left stay below its own size
+    wide = F.greatest(F.lit(1), F.ceil(F.col("tiles") * limit / large), F.least("tiles", F.floor(F.col("tiles") * limit / F.col("size"))))
+    of_left = common.materialize(of_left.select(group, F.greatest(F.lit(1), F.ceil(F.col("size") / large)).cast("int").alias("left_tiles"), wide.cast("int").alias("wide")), "left")
+    others = dealt.join(of_left, group).withColumn("there", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int"))
     others = others.select(group, F.explode(F.sequence(F.lit(0), F.col("left_tiles") - 1)).alias("here"), "there", F.lit(1).alias("turn"), "id", data)
     looking = left.join(of_left, group).withColumn("here", F.pmod(F.xxhash64("id", F.lit(1)), F.col("left_tiles")).cast("int"))
-    looking = looking.select(group, "here", F.explode(F.sequence(F.lit(0), wide("tiles") - 1)).alias("there"), F.lit(0).alias("turn"), "id", data)
+    looking = looking.select(group, "here", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("there"), F.lit(0).alias("turn"), "id", data)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in _groups(batches, 3):
