@@ -22,6 +22,7 @@ from ..operators.detection import Detector, Leaf
 from . import filters, windows
 from .errors import RuleError
 
+#: Marks of lines that are meant to hold a secret.
 ALLOW_SIGNATURES = ("betterleaks:allow", "gitleaks:allow")
 _FIELDS = {"id": str, "regex": str, "path": str, "secretGroup": int, "keywords": list, "filter": str, "entropy": (int, float), "tokenEfficiency": bool, "skipReport": bool, "components": list, "required": list}
 
