@@ -233,6 +233,15 @@ def test_search(spark):
     assert re.search(search.matcher(["Foo", "bar"], ignore_case=True).replace("(?diu)", "(?i)"), "xBAR")
 
 
+def test_search_by_redaction_alone(spark, tmp_path):
+    """Lines that match only once redacted, and nulls, as the statements have them."""
+    rows = [(1, "joe@x.com"), (2, "joe@x.com e\nann@bee.org"), (3, None), (4, ""), (5, "e\n"), (6, "key555-123-4567")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n for r in catalogue.QUERIES["grep_invert"](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 4: 1}
+    assert [r.doc_id for r in catalogue.QUERIES["grep_files_with"](spark, str(tmp_path)).collect()] == [6]
+    assert {r.doc_id for r in catalogue.QUERIES["grep_files_without"](spark, str(tmp_path)).collect()} == {1, 2, 4, 5, 6}
+
+
 def test_stream(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     spark.read.parquet(f"{sf_dir}/documents.parquet").write.parquet(f"{tmp_path}/in")

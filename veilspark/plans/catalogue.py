@@ -207,7 +207,8 @@ def grep_count(spark, sf_dir):
 
 @query(f"SELECT doc_id, count(*) AS n FROM ({_LINES}) WHERE NOT regexp_matches(line, 'e') GROUP BY doc_id")
 def grep_invert(spark, sf_dir):
-    return search.counts(_read(spark, sf_dir).select("doc_id", "text"), "e", PII, invert=True)
+    """Lines without an e after redaction, which may take the only one away; so every text is redacted."""
+    return search.counts(_read(spark, sf_dir).select("doc_id", "text"), "e", PII, invert=True, probe=False)
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, bool_or(regexp_matches(line, '@')) AS hit FROM ({_LINES}) GROUP BY doc_id) WHERE NOT hit")
