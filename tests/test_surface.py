@@ -424,3 +424,16 @@ def test_searches(spark):
     assert [r.match for r in search.only_matching(df, "t..").orderBy("line_no").collect()] == ["two", "thr"]
     assert search.until_nul(df).orderBy("doc_id").first().text.endswith("three")
     assert [(r.line_no, r.match) for r in search.multiline(df, "one .*?\ntwo").collect()] == [(1, "one [REDACTED-1]\ntwo")]
+
+
+def test_small_files_with_dear_rows_run_in_many_tasks(spark, tmp_path):
+    """A file of one row group goes over several tasks where each row is dear, and no row is lost."""
+    from veilspark.plans import catalogue
+
+    spark.range(6000).selectExpr("id AS c_custkey", "id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("default_detectors", "scan_files", "credential_fields", "document_detector", "allow_lists", "staged_lines"):
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
+    rows = files.dealt(spark.read.parquet(f"{tmp_path}/customer.parquet").select("c_custkey"))
+    assert 1 < rows.rdd.getNumPartitions() <= 4 and rows.distinct().count() == 6000
+    assert files.dealt(spark.range(3)).rdd.getNumPartitions() == spark.range(3).rdd.getNumPartitions()

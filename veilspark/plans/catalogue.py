@@ -61,7 +61,7 @@ def phone_spans(spark, sf_dir):
 
 @query(O.spans(O.ADDRESS, "pii:address", f"SELECT c_custkey AS doc_id, {G.ADDRESS_TEXT} AS text FROM customer"))
 def address_spans(spark, sf_dir):
-    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(G.ADDRESS_TEXT).alias("text"))
+    rows = files.dealt(_read(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), F.expr(G.ADDRESS_TEXT).alias("text"))
     return _spans(rows, D.address(F.col("text")))
 
 

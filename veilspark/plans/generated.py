@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
+
 #: The password of a customer, and the text it stands in, by kind.
 PASSWORD = "('p' || CAST(c_custkey AS STRING) || 'w')"
 TOKEN = "('sb_secret_' || substr(md5(CAST(c_custkey AS STRING)), 1, 24))"
@@ -27,7 +29,8 @@ CREDENTIAL_TEXT = "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN {_fill(text)}
 
 def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) with a credential in six of seven texts."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(CREDENTIAL_TEXT).alias("text"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    return rows.select(F.col("c_custkey").alias("doc_id"), F.expr(CREDENTIAL_TEXT).alias("text"))
 
 
 def credential_spans() -> str:
@@ -113,7 +116,7 @@ ALLOW_VALUES = {"k": _h("k"), "i": _h("i"), "c": _h("c"), "m": "('u' || CAST(c_c
 
 
 def allow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
     return rows.select(F.col("c_custkey").cast("string").alias("doc_id"), F.expr(ALLOW_PATH).alias("path"), F.encode(F.expr(sql_text(ALLOW_BODY, **ALLOW_VALUES)), "UTF-8").alias("content"))
 
 
@@ -141,4 +144,4 @@ RULES = {
 
 
 def rule_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(RULE_TEXTS[kind]).alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), F.expr(RULE_TEXTS[kind]).alias("text"))

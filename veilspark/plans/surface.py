@@ -27,6 +27,11 @@ def _rows(spark, sf_dir, table, **columns):
     return _read(spark, sf_dir, table).select(*[F.expr(x).alias(k) for k, x in columns.items()])
 
 
+def _customers(spark, sf_dir, **columns):
+    """Documents made of customers' keys, for work that costs far more than to read these."""
+    return files.dealt(_read(spark, sf_dir, "customer").select("c_custkey")).select(*[F.expr(x).alias(k) for k, x in columns.items()])
+
+
 def _sql(table, **columns):
     return "SELECT " + ", ".join(f"{x} AS {k}" for k, x in columns.items()) + f" FROM {table}"
 
@@ -107,7 +112,7 @@ _CONTEXT = '{"env": {"DB_PASSWORD": "{p}", "REDIS_PASSWORD": "changeme"}, "db":
 @query(f"SELECT {_STRING('c_custkey')} AS doc_id, replace(replace(replace(replace(text, '\"' || p || '\"', '\"[REDACTED-1]\"'), p || '9', '[REDACTED-2]'), p || '8', '[REDACTED-3]'), p || '6', '[REDACTED-4]') AS content FROM (SELECT c_custkey, {_PW} AS p, {G.sql_text(_CONTEXT, p=_PW)} AS text FROM customer)")
 def credential_fields(spark, sf_dir):
     """Password fields by their key, or by host and user beside or above them."""
-    docs = _rows(spark, sf_dir, "customer", doc_id=_STRING("c_custkey"), path="'a.json'", content=f"CAST({G.sql_text(_CONTEXT, p=_PW)} AS BINARY)")
+    docs = _customers(spark, sf_dir, doc_id=_STRING("c_custkey"), path="'a.json'", content=f"CAST({G.sql_text(_CONTEXT, p=_PW)} AS BINARY)")
     return documents.redact_all(docs, ["credential_key"]).select("doc_id", F.decode("content", "UTF-8").alias("content"))
 
 
@@ -152,7 +157,7 @@ def staged_lines(spark, sf_dir):
     """Findings on added lines."""
     from ..cli import staged_findings
 
-    docs = _rows(spark, sf_dir, "customer", doc_id=_STRING("c_custkey"), path="'a.txt'", content=f"CAST({_STAGED} AS BINARY)")
+    docs = _customers(spark, sf_dir, doc_id=_STRING("c_custkey"), path="'a.txt'", content=f"CAST({_STAGED} AS BINARY)")
     added = _rows(spark, sf_dir, "customer", doc_id=_STRING("c_custkey"), first="CAST(c_custkey % 4 + 1 AS INT)", last="CAST(c_custkey % 4 + 2 AS INT)")
     found = documents.redact_all(docs, ["credential_assignment"]).select("doc_id", F.explode("findings").alias("f"))
     return staged_findings(found, docs.select("doc_id", "content"), added)
@@ -195,7 +200,7 @@ def _repeated(leaves):
 @query(f"SELECT {_STRING('c_custkey')} AS doc_id, replace({G.sql_text(_PAIR, x=_X, y=_Y)}, '\"' || {_X} || '\"', '\"[repeated#1]\"') AS content FROM customer")
 def document_detector(spark, sf_dir):
     """A detector that sees a document as a whole."""
-    docs = _rows(spark, sf_dir, "customer", doc_id=_STRING("c_custkey"), path="'a.json'", content=f"CAST({G.sql_text(_PAIR, x=_X, y=_Y)} AS BINARY)")
+    docs = _customers(spark, sf_dir, doc_id=_STRING("c_custkey"), path="'a.json'", content=f"CAST({G.sql_text(_PAIR, x=_X, y=_Y)} AS BINARY)")
     done = documents.redact_all(docs, [detection.Detector("repeated", document=_repeated)], documents.Options(template=Template.parse("[{reason}#{n}]")))
     return done.select("doc_id", F.decode("content", "UTF-8").alias("content"))
 

@@ -218,6 +218,21 @@ def documents(spark: SparkSession, root: str, options: WalkOptions | None = None
     return some.select(F.col("relative").alias("doc_id"), "path", "content", "error")
 
 
+#: Input bytes for which a task is worth its start where rows are dear, and the most that one takes.
+LEAST_DEALT, MOST_DEALT = 8 << 10, 1 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt evenly over tasks, for work that costs far more than to read them.
+
+    A file is cut into tasks by its bytes and row groups, so a small one with much work for each row runs in one task.
+    """
+    size = float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(max(min(size / LEAST_DEALT, most), size / MOST_DEALT))
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def standard_input(spark: SparkSession, data: bytes | None = None) -> DataFrame:
     """One document from the given bytes, or all of standard input."""
     body = sys.stdin.buffer.read() if data is None else data
