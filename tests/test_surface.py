@@ -437,3 +437,25 @@ def test_small_files_with_dear_rows_run_in_many_tasks(spark, tmp_path):
     rows = files.dealt(spark.read.parquet(f"{tmp_path}/customer.parquet").select("c_custkey"))
     assert 1 < rows.rdd.getNumPartitions() <= 4 and rows.distinct().count() == 6000
     assert files.dealt(spark.range(3)).rdd.getNumPartitions() == spark.range(3).rdd.getNumPartitions()
+
+
+def test_policy_is_asked_once_for_each_key_and_object():
+    from collections import Counter
+
+    asked = Counter()
+
+    class Counted(formats.Policy):
+        def skip_key(self, key):
+            asked["key"] += 1
+            return super().skip_key(key)
+
+        def credential_context(self, keys):
+            asked["object"] += 1
+            return super().credential_context(keys)
+
+    body = {"db": {"host": "h", "user": "u", **{f"k{i}": {"password": "p", "path": "q"} for i in range(20)}}}
+    found = formats.parse(json.dumps(body).encode(), "a.json")[1]
+    judged = formats.Judged(Counted())
+    assert [x.key for x in found if judged.lets_through(x)] == ["host", "user"] + ["password"] * 20
+    assert all(judged.credential_context(x) for x in found)
+    assert asked == {"key": 25, "object": 2}

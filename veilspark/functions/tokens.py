@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,14 +48,18 @@ class Template:
     def token(self, n: int, reason: str = "") -> str:
         if n < 1:
             raise ValueError("numbers start at 1")
-        if any(v == "reason" for k, v in self.parts if k == "field") and not re.fullmatch(REASON, reason):
+        if self._reasoned and not re.fullmatch(REASON, reason):
             raise ValueError("reason has characters outside its alphabet")
         return "".join(v if k == "text" else str(n) if v == "n" else reason for k, v in self.parts)
 
     def column(self, n: Column, reason: Column) -> Column:
         return F.concat(*[F.lit(v) if k == "text" else n.cast("string") if v == "n" else reason for k, v in self.parts])
 
-    @property
+    @cached_property
+    def _reasoned(self) -> bool:
+        return ("field", "reason") in self.parts
+
+    @cached_property
     def pattern(self) -> str:
         """Matches tokens of this template, in Java and Python."""
         return "".join(re.escape(v) if k == "text" else "[1-9][0-9]*" if v == "n" else REASON for k, v in self.parts)
@@ -64,6 +69,8 @@ class Template:
 
     def find_tokens(self, text: str) -> list[tuple[int, int]]:
         """Byte spans of the tokens in a text."""
+        if self.parts[0][1] not in text:
+            return []
         from .literals import byte_offsets
 
         marks = [x for m in re.finditer(self.pattern, text) for x in m.span()]

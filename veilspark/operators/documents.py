@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,30 +91,50 @@ def parsed(docs: DataFrame, options: Options | None = None) -> DataFrame:
     options = options or Options()
     spared = any_of(map(glob, options.allow_paths))
 
-    def leaves_of(data: bytes, path: str | None) -> tuple[str, list[dict], str | None]:
+    def leaves_of(data: bytes, path: str | None, here: list[re.Pattern]) -> tuple[str, list[tuple], str | None]:
         name, found, warning = formats.parse(data, path, options.format, options.comments, options.formats)
-        here = [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]]
-        rows = []
+        judged, rows = formats.Judged(options.policy), []
         for i, x in enumerate(found):
-            if not options.policy.lets_through(x) or any(_path_spared(x.path, p) for p in here):
+            if not judged.lets_through(x) or any(_path_spared(x.path, p) for p in here):
                 continue
-            rows.append({"leaf_idx": i, "key": x.key, "path": x.path, "value": _column_value(x), "credential_context": any(map(options.policy.credential_context, x.around)), "offset": x.start, "end": x.end, "style": x.style, "comment": x.comment})
+            rows.append((i, x.key, x.path, _column_value(x), judged.credential_context(x), x.start, x.end, x.style, x.comment))
         return name, rows, warning
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spared_in = lru_cache(maxsize=1024)(lambda path: [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]])
         for part in _parts(batches):
             names, warnings, every = [], [], []
             for path, data in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                name, rows, warning = leaves_of(data or b"", path)
+                name, rows, warning = leaves_of(data or b"", path, spared_in(path))
                 names.append(name)
                 warnings.append(warning)
                 every.append(rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(warnings, pa.string()), pa.array(every, pa.list_(_LEAF))], ["doc_id", "path", "content", "format", "warning", "leaves"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(warnings, pa.string()), _lists(every, _LEAF)], ["doc_id", "path", "content", "format", "warning", "leaves"])
 
     base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
     return base.mapInArrow(run, f"doc_id string, path string, content binary, format string, warning string, leaves array<{LEAF}>")
 
 
+def _lists(every: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of rows as an array, made column by column."""
+    flat = list(chain.from_iterable(every))
+    columns = zip(*flat, strict=True) if flat else [()] * kind.num_fields
+    items = pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(columns)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, every))], pa.int32()), items)
+
+
+def _rows(lists: pa.ListArray) -> list[list]:
+    """What to_pylist gives of lists (of lists) of structs without nulls, read column by column."""
+    inner = lists.flatten()
+    if pa.types.is_list(inner.type):
+        items = _rows(inner)
+    else:
+        names = [inner.type.field(i).name for i in range(inner.type.num_fields)]
+        items = [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in inner.flatten()), strict=True)]
+    ends = list(accumulate(pc.list_value_length(lists).to_pylist(), initial=0))
+    return [items[a:b] for a, b in pairwise(ends)]
+
+
 def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with contents (the third column) of at most limit bytes, or of one document."""
     for batch in batches:
@@ -199,7 +221,7 @@ class _Document:
                     number[secret] = len(number) + 1
                     shown = secret.decode("utf-8", "replace")
                     token = template.token(number[secret], label)
-                    first.append({"id": number[secret], "secret": shown, "detector": label, "field": r["key"], "path": r["path"], "token": token, "len": len(secret), "offsets": [], "occurrences": 0, "allowed": self._allowed(path, shown)})
+                    first.append({"id": number[secret], "secret": shown, "detector": label, "field": r["key"], "path": r["path"], "token": token, "len": len(secret), "offsets": [], "line": None, "column": None, "occurrences": 0, "allowed": self._allowed(path, shown)})
         if not first:
             return data, []
         edits: dict[int, list[tuple[int, int, str]]] = {}
@@ -273,12 +295,13 @@ def redact_all(docs: DataFrame, names: Iterable[str | Detector] = (*D.DEFAULT, "
         document = _Document(options, detectors)
         for part in _parts(batches):
             contents, every = [], []
-            for _, path, data, name, _, some, native in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            _, path, data, name, _, some, native = part.columns
+            for path, data, name, some, native in zip(path.to_pylist(), data.to_pylist(), name.to_pylist(), _rows(some), _rows(native), strict=True):
                 content, found = document.finish(path, data or b"", name, some, native)
                 contents.append(content)
-                every.append(found)
+                every.append([tuple(f.values()) for f in found])
             doc, path, _, name, warning, *_ = part.columns
-            yield pa.RecordBatch.from_arrays([doc, path, name, pa.array(contents, pa.binary()), warning, pa.array(every, pa.list_(_FINDING))], ["doc_id", "path", "format", "content", "warning", "findings"])
+            yield pa.RecordBatch.from_arrays([doc, path, name, pa.array(contents, pa.binary()), warning, _lists(every, _FINDING)], ["doc_id", "path", "format", "content", "warning", "findings"])
 
     return rows.mapInArrow(run, f"doc_id string, path string, format string, content binary, warning string, findings array<{FINDING}>")
 
