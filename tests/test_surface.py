@@ -459,3 +459,20 @@ def test_policy_is_asked_once_for_each_key_and_object():
     assert [x.key for x in found if judged.lets_through(x)] == ["host", "user"] + ["password"] * 20
     assert all(judged.credential_context(x) for x in found)
     assert asked == {"key": 25, "object": 2}
+
+
+def test_leaves_stay_in_one_pass_without_native_detectors(spark):
+    """A document that no native detector looks at goes to Python once, and comes out as from two passes."""
+    from veilspark.operators import detection, documents
+
+    lone = detection.Detector("v", python=lambda leaf: [(0, len(leaf.value.encode()), "v")] if leaf.value.startswith("s") else [])
+    whole = detection.Detector("w", document=lambda leaves: [[(0, 1, "w")] if x.key == "k" and x.value else [] for x in leaves])
+    silent = detection.Detector("n", lambda leaf: detection.D.regex(leaf.value, ["never"]))
+    bodies = [("a.json", b'{"k": "xy", "t": "s\xc3\xa9", "u": ["s\xc3\xa9", "z"], "id": "s1"}'), ("b.txt", b"s \xff end"), ("c.json", b'{"k": '), ("d.json", b""), ("e.json", None), ("f.ini", b"k=ab\nt=s2\n")]
+    docs = spark.createDataFrame([(str(i), p, None if b is None else bytearray(b)) for i, (p, b) in enumerate(bodies)], "doc_id string, path string, content binary")
+    one, two = documents.redact_all(docs, [lone, whole]), documents.redact_all(docs, [lone, whole, silent])
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert passes(one) == 1 and passes(two) == 2
+    got = one.orderBy("doc_id").collect()
+    assert got == two.orderBy("doc_id").collect() and len(got) == 6
+    assert bytes(got[0].content) == b'{"k": "[REDACTED-1]y", "t": "[REDACTED-2]", "u": ["[REDACTED-2]", "z"], "id": "s1"}'

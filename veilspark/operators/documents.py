@@ -2,7 +2,8 @@
 
 One pass over the documents, without a shuffle: a document's leaves stay an array beside it, native detectors run over
 that array, and numbering, propagation and rewriting take the document, its leaves and their spans together. So a
-document is parsed once, and what one task holds is bounded by one document.
+document is parsed once, and what one task holds is bounded by one document. Without native detectors the leaves never
+leave the Python that parsed them.
 """
 
 from __future__ import annotations
@@ -89,30 +90,42 @@ def parsed(docs: DataFrame, options: Options | None = None) -> DataFrame:
     Leaves are those that the policy lets through and no allowed key path spares; their index counts all of them.
     """
     options = options or Options()
-    spared = any_of(map(glob, options.allow_paths))
-
-    def leaves_of(data: bytes, path: str | None, here: list[re.Pattern]) -> tuple[str, list[tuple], str | None]:
-        name, found, warning = formats.parse(data, path, options.format, options.comments, options.formats)
-        judged, rows = formats.Judged(options.policy), []
-        for i, x in enumerate(found):
-            if not judged.lets_through(x) or any(_path_spared(x.path, p) for p in here):
-                continue
-            rows.append((i, x.key, x.path, _column_value(x), judged.credential_context(x), x.start, x.end, x.style, x.comment))
-        return name, rows, warning
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spared_in = lru_cache(maxsize=1024)(lambda path: [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]])
+        reader = _Reader(options)
         for part in _parts(batches):
-            names, warnings, every = [], [], []
+            names, every, warnings = [], [], []
             for path, data in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                name, rows, warning = leaves_of(data or b"", path, spared_in(path))
+                name, rows, warning = reader.leaves(data or b"", path)
                 names.append(name)
                 warnings.append(warning)
                 every.append(rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(warnings, pa.string()), _lists(every, _LEAF)], ["doc_id", "path", "content", "format", "warning", "leaves"])
 
-    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
-    return base.mapInArrow(run, f"doc_id string, path string, content binary, format string, warning string, leaves array<{LEAF}>")
+    return _base(docs).mapInArrow(run, f"doc_id string, path string, content binary, format string, warning string, leaves array<{LEAF}>")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+
+
+class _Reader:
+    """Leaves of one document after the other."""
+
+    def __init__(self, options: Options):
+        self.options, spared = options, any_of(map(glob, options.allow_paths))
+        self.spared_in = lru_cache(maxsize=1024)(lambda path: [python(x) for x in ([spared] if spared else []) + [glob(g) for g in options.file_paths.for_file(path)]])
+
+    def leaves(self, data: bytes, path: str | None) -> tuple[str, list[tuple], str | None]:
+        """(format, rows of LEAF, warning)."""
+        options, here = self.options, self.spared_in(path)
+        name, found, warning = formats.parse(data, path, options.format, options.comments, options.formats)
+        judged, rows = formats.Judged(options.policy), []
+        for i, x in enumerate(found):
+            if not judged.lets_through(x) or (here and any(_path_spared(x.path, p) for p in here)):
+                continue
+            rows.append((i, x.key, x.path, _column_value(x), judged.credential_context(x), x.start, x.end, x.style, x.comment))
+        return name, rows, warning
 
 
 def _lists(every: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
@@ -124,17 +137,18 @@ def _lists(every: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
 
 
 def _rows(lists: pa.ListArray) -> list[list]:
-    """What to_pylist gives of lists (of lists) of structs without nulls, read column by column."""
+    """Lists (of lists) of structs without nulls as tuples, read column by column."""
     inner = lists.flatten()
-    if pa.types.is_list(inner.type):
-        items = _rows(inner)
-    else:
-        names = [inner.type.field(i).name for i in range(inner.type.num_fields)]
-        items = [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in inner.flatten()), strict=True)]
-    ends = list(accumulate(pc.list_value_length(lists).to_pylist(), initial=0))
+    items = _rows(inner) if pa.types.is_list(inner.type) else list(zip(*map(_plain, inner.flatten()), strict=True))
+    ends = list(accumulate(_plain(pc.list_value_length(lists)), initial=0))
     return [items[a:b] for a, b in pairwise(ends)]
 
 
+def _plain(column: pa.Array) -> list:
+    """to_pylist, faster for whole numbers."""
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
+
+
 def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with contents (the third column) of at most limit bytes, or of one document."""
     for batch in batches:
@@ -195,57 +209,64 @@ class _Document:
         self.within = [regex.compile(to_python(p), regex.V1) for p in options.within]
         self.tester = options.allow.tester()
 
-    def finish(self, path: str | None, data: bytes, name: str, rows: list[dict], native: list[list[dict]]) -> tuple[bytes, list[dict]]:
-        """(rendered document, findings in order)."""
+    def finish(self, path: str | None, data: bytes, name: str, rows: list[tuple], native: list[list[tuple[int, int, str]]] | None = None) -> tuple[bytes, list[dict]]:
+        """(rendered document, findings in order). Rows are those of LEAF; native are the spans that are known of each."""
         template = self.options.template
-        found = [[(s["start"], s["end"], s["label"]) for s in some] for some in native]
-        infos = [Leaf(r["value"], r["key"], r["path"], r["credential_context"]) for r in rows] if self.python or self.whole else []
-        for i, info in enumerate(infos):
-            for d in self.python:
-                found[i] += d.python(info) if info.value else []
-        for d in self.whole:
-            for mine, more in zip(found, d.document(infos), strict=True):
-                mine += more
-        spans: list[tuple[dict, list[tuple[int, int, str]], bytes]] = []
+        found = native or [[] for _ in rows]
+        if self.python or self.whole:
+            infos = [Leaf(value, key, at, context) for _, key, at, value, context, *_ in rows]
+            if self.python:
+                for i, info in enumerate(infos):
+                    for d in self.python:
+                        found[i] += d.python(info) if info.value else []
+            for d in self.whole:
+                for mine, more in zip(found, d.document(infos), strict=True):
+                    mine += more
+        if not any(found):
+            return data, []
+        spans: list[tuple[tuple, list[tuple[int, int, str]], str]] = []
         number: dict[bytes, int] = {}
         first: list[dict] = []
-        text = data.decode("utf-8", "surrogateescape") if any(found) else ""
+        text = data.decode("utf-8", "surrogateescape")
         for r, some in zip(rows, found, strict=True):
-            value = text if r["style"] == "raw" and name == "text" else r["value"]
-            raw = value.encode("utf-8", "surrogateescape") if some or number else b""
-            kept = self._kept(r["value"], some)
-            spans.append((r, kept, value))
+            _, key, at, value, _, _, _, style, _ = r
+            kept = self._kept(value, some) if some else some
+            whole = text if style == "raw" and name == "text" else value
+            spans.append((r, kept, whole))
+            if not kept:
+                continue
+            raw = whole.encode("utf-8", "surrogateescape")
             for a, b, label in kept:
                 secret = raw[a:b]
                 if secret not in number:
                     number[secret] = len(number) + 1
                     shown = secret.decode("utf-8", "replace")
                     token = template.token(number[secret], label)
-                    first.append({"id": number[secret], "secret": shown, "detector": label, "field": r["key"], "path": r["path"], "token": token, "len": len(secret), "offsets": [], "line": None, "column": None, "occurrences": 0, "allowed": self._allowed(path, shown)})
+                    first.append({"id": number[secret], "secret": shown, "detector": label, "field": key, "path": at, "token": token, "len": len(secret), "offsets": [], "line": None, "column": None, "occurrences": 0, "allowed": self._allowed(path, shown)})
         if not first:
             return data, []
         edits: dict[int, list[tuple[int, int, str]]] = {}
         by_index: dict[int, formats.Leaf] = {}
         places: list[tuple[int, int, int]] = []  # (character where the value stands in the document, bytes from there, id)
-        for r, kept, value in spans:
+        for (i, key, at, _, _, start, end, style, _), kept, value in spans:
             raw = value.encode("utf-8", "surrogateescape")
             whole = number.get(raw)
             if whole:  # a value that is a known secret goes as a whole
                 kept = [(0, len(raw), first[whole - 1]["detector"])]
             if not kept:
                 continue
-            inner = text[r["offset"] : r["end"]].find(value) if name != "bplist" else -1
+            inner = text[start:end].find(value) if name != "bplist" else -1
             mine = []
             for a, b, _ in kept:
                 f = first[number[raw[a:b]] - 1]
                 f["occurrences"] += 1
                 if inner >= 0:
-                    places.append((r["offset"] + inner, a, f["id"]))
+                    places.append((start + inner, a, f["id"]))
                 if not f["allowed"]:
                     mine.append((a, b, f["token"]))
             if mine:
-                edits[r["leaf_idx"]] = mine
-                by_index[r["leaf_idx"]] = formats.Leaf(value, r["key"], r["path"], r["offset"], r["end"], r["style"])
+                edits[i] = mine
+                by_index[i] = formats.Leaf(value, key, at, start, end, style)
         places.sort()
         for (_, a, i), at in zip(places, _bytes_at(text, [p for p, _, _ in places]), strict=True):
             first[i - 1]["offsets"].append(at + a)
@@ -289,20 +310,26 @@ def redact_all(docs: DataFrame, names: Iterable[str | Detector] = (*D.DEFAULT, "
     """
     options = options or Options()
     detectors = resolve(names)
-    rows = parsed(docs, options).withColumn("spans", _native_spans([d for d in detectors if d.native]))
+    native = [d for d in detectors if d.native]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = _Document(options, detectors)
+        document, reader = _Document(options, detectors), _Reader(options)
         for part in _parts(batches):
-            contents, every = [], []
-            _, path, data, name, _, some, native = part.columns
-            for path, data, name, some, native in zip(path.to_pylist(), data.to_pylist(), name.to_pylist(), _rows(some), _rows(native), strict=True):
-                content, found = document.finish(path, data or b"", name, some, native)
-                contents.append(content)
+            if native:
+                doc, paths, data, name, warning, some, spans = part.columns
+                given = zip(name.to_pylist(), _rows(some), warning.to_pylist(), _rows(spans), strict=True)
+            else:
+                doc, paths, data = part.columns
+                given = ((*reader.leaves(x or b"", path), None) for path, x in zip(paths.to_pylist(), data.to_pylist(), strict=True))
+            out, every = [], []
+            for path, body, (name, rows, warning, found) in zip(paths.to_pylist(), data.to_pylist(), given, strict=True):
+                content, found = document.finish(path, body or b"", name, rows, found)
+                out.append((name, content, warning))
                 every.append([tuple(f.values()) for f in found])
-            doc, path, _, name, warning, *_ = part.columns
-            yield pa.RecordBatch.from_arrays([doc, path, name, pa.array(contents, pa.binary()), warning, _lists(every, _FINDING)], ["doc_id", "path", "format", "content", "warning", "findings"])
+            names, contents, warnings = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([doc, paths, pa.array(names, pa.string()), pa.array(contents, pa.binary()), pa.array(warnings, pa.string()), _lists(every, _FINDING)], ["doc_id", "path", "format", "content", "warning", "findings"])
 
+    rows = parsed(docs, options).withColumn("spans", _native_spans(native)) if native else _base(docs)
     return rows.mapInArrow(run, f"doc_id string, path string, format string, content binary, warning string, findings array<{FINDING}>")
 
 
