@@ -476,3 +476,20 @@ def test_leaves_stay_in_one_pass_without_native_detectors(spark):
     got = one.orderBy("doc_id").collect()
     assert got == two.orderBy("doc_id").collect() and len(got) == 6
     assert bytes(got[0].content) == b'{"k": "[REDACTED-1]y", "t": "[REDACTED-2]", "u": ["[REDACTED-2]", "z"], "id": "s1"}'
+
+
+def test_listed_files_and_sensitive_keys_are_judged_once(spark, monkeypatch):
+    """A path is held against the globs of allowed files once in a task, a key against the words once in a match."""
+    from veilspark.functions import detectors as D
+    from veilspark.functions.globs import FileGlobs
+
+    asked, plain = [], FileGlobs.matches
+    monkeypatch.setattr(FileGlobs, "matches", lambda self, path: asked.append(path) or plain(self, path))
+    document = documents._Document(documents.Options(files=FileGlobs(("lib/",))), [])
+    assert [document._allowed(p, "s") for p in ("lib/a", "src/b", "lib/a", "src/b")] == [True, False] * 2 and asked == ["lib/a", "src/b"]
+
+    keys = spark.createDataFrame([(k, v) for k in (None, "apiToken", "public_key", "note") for v in ("ab" * 16, "aaaaaaaaaaaa", "q7Zp2LmX9vRt", "q7Zp2LmX9vRt4KsW8nBc1YdF6hGj3TaE")], "key string, text string")
+    found = keys.select("key", "text", F.size(D.entropy(F.col("text"), F.col("key"))).alias("n"))
+    assert found._jdf.queryExecution().analyzed().toString().count("arrays_overlap") == 1
+    assert {(r.key, r.text[:4]) for r in found.filter("n = 1").collect()} == {("apiToken", "abab"), ("apiToken", "q7Zp")} | {(k, "q7Zp") for k in (None, "public_key", "note")}
+    assert found.filter("n = 1").count() == 6

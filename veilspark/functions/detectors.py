@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .globs import glob
 from .spans import entropy as entropy_bits
-from .spans import find, none
+from .spans import find, let, none
 from .tokens import Template
 
 
@@ -31,9 +31,9 @@ def split_camel(key: Column) -> Column:
 
 def is_sensitive_key(key: Column, segments: Iterable[str] = P.SENSITIVE_SEGMENTS, structural: Iterable[str] = P.STRUCTURAL_KEYS) -> Column:
     """Whether a segment of the key names a secret and the key isn't of a structural kind."""
-    name = normalize_key(split_camel(key))
-    veto = name.rlike("(?:^|_)(?:" + "|".join(map(re.escape, structural)) + r")\z")
-    return F.coalesce(~veto & F.arrays_overlap(F.split(name, "_"), F.array(*map(F.lit, segments))), F.lit(False))
+    veto = "(?:^|_)(?:" + "|".join(map(re.escape, structural)) + r")\z"
+    named = lambda name: ~name.rlike(veto) & F.arrays_overlap(F.split(name, "_"), F.array(*map(F.lit, segments)))
+    return F.coalesce(let(normalize_key(split_camel(key)), named), F.lit(False))
 
 
 def is_placeholder(value: Column, template: Template | None = None, words: Iterable[str] = P.PLACEHOLDERS, masks: str = P.MASKS, mask_min: int = 3, bracket_min: int = 5) -> Column:
@@ -69,7 +69,7 @@ def entropy(text: Column, key: Column | None = None, threshold: float = 4.5, sen
     pattern = f"{P.ENTROPY_TOKEN}{{{min_length},}}"
     sensitive = is_sensitive_key(key, segments, structural)
     digest = lambda m: m.rlike(r"\A[0-9A-Fa-f]+\z") & F.length(m).isin(*hex_lengths)
-    return find(text, pattern, "entropy", lambda m: (entropy_bits(m) > F.when(sensitive, sensitive_threshold).otherwise(threshold)) | (sensitive & digest(m)))
+    return find(text, pattern, "entropy", lambda m: F.when(sensitive, digest(m) | (entropy_bits(m) > sensitive_threshold)).otherwise(entropy_bits(m) > threshold))
 
 
 def regex(text: Column, expressions: Iterable[str], label: str = "regex", java: bool = False) -> Column:

@@ -208,6 +208,7 @@ class _Document:
         self.options, self.python, self.whole = options, [d for d in detectors if d.python], [d for d in detectors if d.document]
         self.within = [regex.compile(to_python(p), regex.V1) for p in options.within]
         self.tester = options.allow.tester()
+        self.listed = lru_cache(maxsize=1024)(options.files.matches)
 
     def finish(self, path: str | None, data: bytes, name: str, rows: list[tuple], native: list[list[tuple[int, int, str]]] | None = None) -> tuple[bytes, list[dict]]:
         """(rendered document, findings in order). Rows are those of LEAF; native are the spans that are known of each."""
@@ -290,7 +291,7 @@ class _Document:
         return out
 
     def _allowed(self, path: str | None, secret: str) -> bool:
-        return self.tester(secret) or bool(path and not self.options.files.is_empty and self.options.files.matches(path))
+        return self.tester(secret) or bool(path and not self.options.files.is_empty and self.listed(path))
 
 
 def _bytes_at(text: str, places: list[int]) -> list[int]:
