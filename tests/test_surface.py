@@ -493,3 +493,17 @@ def test_listed_files_and_sensitive_keys_are_judged_once(spark, monkeypatch):
     assert found._jdf.queryExecution().analyzed().toString().count("arrays_overlap") == 1
     assert {(r.key, r.text[:4]) for r in found.filter("n = 1").collect()} == {("apiToken", "abab"), ("apiToken", "q7Zp")} | {(k, "q7Zp") for k in (None, "public_key", "note")}
     assert found.filter("n = 1").count() == 6
+
+
+def test_candidates_are_stripped_once(spark):
+    """What a placeholder test strips and unquotes is bound, not computed for each question; contents are read where no line is known."""
+    from veilspark.functions import detectors as D
+
+    texts = spark.createDataFrame([(t,) for t in ("DB_PASSWORD=hunter2", "DB_PASSWORD=changeme", "DB_PASSWORD=' xxxx '", "DB_PASSWORD=<a>", "DB_PASSWORD=<a-word>", "DB_PASSWORD='it is'", "DB_PASSWORD=${X}", None)], "text string")
+    found = texts.select("text", F.size(D.credential_assignment(F.col("text"))).alias("n"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 8
+    assert {r.text for r in found.filter("n = 1").collect()} == {"DB_PASSWORD=hunter2", "DB_PASSWORD=<a>", "DB_PASSWORD='it is'"}
+    docs = spark.createDataFrame([("a", bytearray(b"x\nlong key\nlong key"))], "doc_id string, content binary")
+    known = spark.createDataFrame([("a", (1, "d", "key", [7, 16])), ("a", (2, "e", "long", None))], "doc_id string, f struct<id:int,detector:string,secret:string,offsets:array<long>>")
+    near = cli.staged_findings(known, docs, spark.createDataFrame([("a", 3, 3)], "doc_id string, first int, last int"))
+    assert {tuple(r) for r in near.collect()} == {("a", "d", 3), ("a", "e", 3)}

@@ -252,9 +252,10 @@ def staged_findings(found, docs, added):
     """
     text = docs.select("doc_id", F.col("content").alias("raw"))
     places = found.join(text, "doc_id").select("doc_id", "f", "raw", F.explode_outer("f.offsets").alias("at"))
+    lines = lambda: F.split(F.decode("raw", "UTF-8"), "\n", -1)
     line = F.when(F.col("at").isNotNull(), F.size(F.split(F.decode(F.substring("raw", F.lit(1), F.col("at").cast("int")), "UTF-8"), "\n", -1)))
-    rows = places.select("doc_id", F.col("f.id").alias("id"), F.col("f.detector").alias("detector"), F.col("f.secret").alias("secret"), line.alias("line"), F.decode("raw", "UTF-8").alias("text"))
-    near = rows.join(added, "doc_id").filter(F.col("line").between(F.col("first"), F.col("last")) | (F.col("line").isNull() & F.contains(F.array_join(F.slice(F.split("text", "\n", -1), F.col("first"), F.col("last") - F.col("first") + 1), "\n"), F.col("secret"))))
+    rows = places.select("doc_id", F.col("f.id").alias("id"), F.col("f.detector").alias("detector"), F.col("f.secret").alias("secret"), line.alias("line"), F.when(F.col("at").isNull(), F.col("raw")).alias("raw"))
+    near = rows.join(added, "doc_id").filter(F.col("line").between(F.col("first"), F.col("last")) | (F.col("line").isNull() & F.contains(F.array_join(F.slice(lines(), F.col("first"), F.col("last") - F.col("first") + 1), "\n"), F.col("secret"))))
     return near.groupBy("doc_id", "id", "detector").agg(F.min(F.coalesce("line", "first")).alias("line")).select("doc_id", "detector", "line")
 
 

@@ -39,24 +39,26 @@ def is_sensitive_key(key: Column, segments: Iterable[str] = P.SENSITIVE_SEGMENTS
 def is_placeholder(value: Column, template: Template | None = None, words: Iterable[str] = P.PLACEHOLDERS, masks: str = P.MASKS, mask_min: int = 3, bracket_min: int = 5) -> Column:
     """Stand-ins such as `<password>`, `${DB}`, `changeme`, `xxxx` and this library's own tokens."""
     template = template or Template.parse()
-    bare = F.regexp_replace(F.regexp_replace(value, r"\A[\s\x85\p{Z}]+|[\s\x85\p{Z}]+\z", ""), r"""\A["']+|["']+\z""", "")
-    low = F.lower(bare)
+    stripped = F.regexp_replace(F.regexp_replace(value, r"\A[\s\x85\p{Z}]+|[\s\x85\p{Z}]+\z", ""), r"""\A["']+|["']+\z""", "")
     mask = "|".join(rf"{re.escape(c)}{{{mask_min},}}" for c in masks)
-    return (
-        (bare == "")
-        | (bare.rlike(r"\A<[a-z0-9_-]+>\z") & (F.octet_length(bare) >= bracket_min))
-        | bare.rlike(rf"\A(?:{template.pattern})\z")
-        | low.rlike(rf"(?s)\A(?:\$\{{.*\}}|{mask})\z")
-        | low.isin(*words)
-    )
+
+    def stands_in(bare: Column) -> Column:
+        return (
+            (bare == "")
+            | (bare.rlike(r"\A<[a-z0-9_-]+>\z") & (F.octet_length(bare) >= bracket_min))
+            | bare.rlike(rf"\A(?:{template.pattern})\z")
+            | let(F.lower(bare), lambda low: low.rlike(rf"(?s)\A(?:\$\{{.*\}}|{mask})\z") | low.isin(*words))
+        )
+
+    return let(stripped, stands_in)
 
 
 def has_real_value(value: Column, template: Template | None = None) -> Column:
-    return (value != "") & ~is_placeholder(value, template)
+    return let(value, lambda v: (v != "") & ~is_placeholder(v, template))
 
 
 def unquote(value: Column) -> Column:
-    return F.when(value.rlike(r"""(?s)\A(?:"[^"]*"|'[^']*')\z""") & (F.length(value) >= 2), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    return let(value, lambda v: F.when(v.rlike(r"""(?s)\A(?:"[^"]*"|'[^']*')\z""") & (F.length(v) >= 2), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
 def entropy(text: Column, key: Column | None = None, threshold: float = 4.5, sensitive_threshold: float = 3.5, min_length: int = 10, hex_lengths: Iterable[int] = P.HEX_LENGTHS, segments: Iterable[str] = P.SENSITIVE_SEGMENTS, structural: Iterable[str] = P.STRUCTURAL_KEYS) -> Column:

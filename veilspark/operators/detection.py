@@ -129,7 +129,7 @@ class Placeholders:
         return D.is_placeholder(value, self.template, self.words, self.masks, self.mask_min, self.bracket_min)
 
     def has_real_value(self, value: Column) -> Column:
-        return (value != "") & ~self.is_placeholder(value)
+        return D.let(value, lambda v: (v != "") & ~self.is_placeholder(v))
 
 
 def credentials(placeholders: Placeholders | None = None) -> dict[str, Detector]:
