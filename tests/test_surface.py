@@ -507,3 +507,12 @@ def test_candidates_are_stripped_once(spark):
     known = spark.createDataFrame([("a", (1, "d", "key", [7, 16])), ("a", (2, "e", "long", None))], "doc_id string, f struct<id:int,detector:string,secret:string,offsets:array<long>>")
     near = cli.staged_findings(known, docs, spark.createDataFrame([("a", 3, 3)], "doc_id string, first int, last int"))
     assert {tuple(r) for r in near.collect()} == {("a", "d", 3), ("a", "e", 3)}
+
+
+def test_connection_strings_are_stripped_once(spark):
+    from veilspark.functions import detectors as D
+
+    texts = spark.createDataFrame([(t,) for t in ("host=h user=u password=p1, x", "Server=db;User Id=sa;Password=p2;", "mysql://h/d?password=p3.", "host=h user=u password=changeme", "host=h password=p4 x=y")], "text string")
+    found = texts.select("text", F.transform(D.connection_string(F.col("text")), lambda s: s["end"]).alias("ends"))
+    assert found._jdf.queryExecution().analyzed().toString().count("[.,;:!?") <= 8
+    assert [r.ends for r in found.collect()] == [[25], [32], [23], [], []]

@@ -138,7 +138,7 @@ def connection_string(text: Column, real: Callable[[Column], Column] = has_real_
         (P.KEYWORD_DSN, lambda c, real: c.rlike(P.KEYWORD_HOST) & c.rlike(P.KEYWORD_USER) & _assigns_password(c, real)),
         (P.SEMICOLON, lambda c, real: c.rlike(P.SEMICOLON_SERVER) & c.rlike(P.SEMICOLON_USER) & _assigns_password(c, real)),
     ]
-    found = [find(text, p, "connection_string", lambda m, ok=ok: ok(strip(m), real), part) for p, ok in kinds]
+    found = [find(text, p, "connection_string", lambda m, ok=ok: let(strip(m), lambda c: ok(c, real)), part) for p, ok in kinds]
     return F.when(text.rlike("(?i)(?:password|pwd)="), F.concat(*found)).otherwise(none())
 
 
